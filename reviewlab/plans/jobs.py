@@ -24,3 +24,48 @@ def prepare_inference(raw: DataFrame, max_len: int = K.MAX_TEXT_LEN_TRAIN,
     if src in df.columns:
         df = frames.add_source_token(df, text, src)
     return df
+
+
+def prepare_training(raw: DataFrame, seed=K.SEED, max_per_src: int | None = K.MAX_SAMPLES_PER_SRC,
+                     max_len: int = K.MAX_TEXT_LEN_TRAIN, max_total: int | None = None,
+                     val_size: float = K.VAL_SIZE, max_aug_per_row: int = K.MAX_AUG_PER_SAMPLE,
+                     key: str = "ID", materialise: bool = True) -> DataFrame:
+    """Q1: the training-set build, returned as one table with ``split`` in
+    {train, val}, ``aug`` (0 = original row, n = n-th augmented copy) and
+    ``ord`` (seeded shuffle position of train rows).
+
+    Order of steps is the original's: drop unusable -> exact dedup (before
+    cleaning) -> clean -> drop empty -> shorten -> cap per source -> optional
+    stratified total cap -> stratified split -> augment train only ->
+    source token -> shuffle. The split result feeds three branches, so it
+    is checkpointed to the shared folder once instead of recomputing the
+    cleaning chain for each branch.
+    """
+    from reviewlab.operators import sampling
+    from reviewlab.session import cut_lineage
+
+    frames.require_columns(raw, ["text", "label"])
+    has_src = "src" in raw.columns
+    df = frames.drop_unusable(raw)
+    df = frames.dedup_exact(df, ("text", "label"), key)
+    df = T.clean_text(df, "text")
+    df = frames.drop_empty(df)
+    df = df.withColumn("text", S.shorten("text", max_len))
+    if has_src and max_per_src is not None:
+        df = sampling.cap_per_group(df, "src", max_per_src, seed, key)
+    df = sampling.cap_total_stratified(df, "label", max_total, seed, key)
+    df = sampling.stratified_split(df, "label", val_size, seed, key)
+    if materialise:
+        df = cut_lineage(df)
+    train = df.filter(F.col("split") == "train")
+    val = df.filter(F.col("split") == "val").drop("rank").withColumn("aug", F.lit(0))
+    extra = sampling.balance_by_augmentation(train, "label", "text", key, max_aug_per_row,
+                                             seed, rank="rank")
+    train = frames.append_rows(train.withColumn("aug", F.lit(0)), extra).drop("rank")
+    if has_src:
+        train = frames.add_source_token(train)
+        val = frames.add_source_token(val)
+    train = train.withColumn("__k", F.concat(F.col(key).cast("string"), F.lit("|"),
+                                             F.col("aug").cast("string")))
+    train = sampling.shuffle_rows(train, seed, "__k").drop("__k")
+    return frames.append_rows(train, val.withColumn("ord", F.lit(None).cast("bigint")))
