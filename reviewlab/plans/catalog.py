@@ -33,6 +33,7 @@ def load_all() -> None:
     from reviewlab.plans import queries_text  # noqa: F401
     from reviewlab.plans import queries_tables  # noqa: F401
     from reviewlab.plans import queries_sampling  # noqa: F401
+    from reviewlab.plans import queries_eval  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
