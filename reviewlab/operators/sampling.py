@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlab import constants as K
+from reviewlab.functions.arrays import let
 from reviewlab.operators.ranking import rank_within, seeded_hash, unit_float
 
 
@@ -128,14 +129,19 @@ def swap_words(words: Column, key: Column, copy: Column, prob: float = K.WORD_SW
                seed=K.SEED) -> Column:
     """A2: with probability ``prob`` and more than three words, swap two
     distinct positions drawn from the words that are left."""
-    n = F.size(words)
-    i = F.floor(_u(seed, key, copy, "i") * n).cast("int")
-    j0 = F.floor(_u(seed, key, copy, "j") * (n - 1)).cast("int")
-    j = F.when(j0 >= i, j0 + 1).otherwise(j0)
-    swapped = F.transform(words, lambda w, k: F.when(k == i, F.element_at(words, j + 1))
-                          .when(k == j, F.element_at(words, i + 1)).otherwise(w))
-    do = (n >= K.MIN_WORDS_FOR_AUG) & (_u(seed, key, copy, "s") <= prob)
-    return F.when(do, swapped).otherwise(words)
+    def body(ws):
+        n = F.size(ws)
+        i = F.floor(_u(seed, key, copy, "i") * n).cast("int")
+        j0 = F.floor(_u(seed, key, copy, "j") * (n - 1)).cast("int")
+        j = F.when(j0 >= i, j0 + 1).otherwise(j0)
+        # bind the positions too, so the lambda below reads plain values
+        return let(F.struct(i.alias("i"), j.alias("j")), lambda p: F.when(
+            (n >= K.MIN_WORDS_FOR_AUG) & (_u(seed, key, copy, "s") <= prob),
+            F.transform(ws, lambda w, k: F.when(k == p["i"], F.element_at(ws, p["j"] + 1))
+                        .when(k == p["j"], F.element_at(ws, p["i"] + 1)).otherwise(w))
+        ).otherwise(ws))
+
+    return let(words, body)
 
 
 def augment_text(text: Column, key: Column, copy: Column, seed=K.SEED) -> Column:
