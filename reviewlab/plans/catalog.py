@@ -35,6 +35,7 @@ def load_all() -> None:
     from reviewlab.plans import queries_sampling  # noqa: F401
     from reviewlab.plans import queries_eval  # noqa: F401
     from reviewlab.plans import queries_features  # noqa: F401
+    from reviewlab.plans import queries_ml  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

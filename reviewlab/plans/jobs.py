@@ -42,15 +42,24 @@ def prepare_training(raw: DataFrame, seed=K.SEED, max_per_src: int | None = K.MA
     cleaning chain for each branch.
     """
     from reviewlab.operators import sampling
-    from reviewlab.session import cut_lineage
+    from reviewlab.session import cut_lineage, spread
 
     frames.require_columns(raw, ["text", "label"])
     has_src = "src" in raw.columns
     df = frames.drop_unusable(raw)
     df = frames.dedup_exact(df, ("text", "label"), key)
+    if materialise:
+        # store the deduplicated rows, then spread them over the cores: the
+        # cleaning after the dedup shuffle is CPU-bound
+        df = spread(cut_lineage(df))
     df = T.clean_text(df, "text")
     df = frames.drop_empty(df)
     df = df.withColumn("text", S.shorten("text", max_len))
+    if materialise:
+        # the caps and the split read the cleaned rows in several branches
+        # (counts, bucket counts, ranks): store them once instead of
+        # re-running the regex chain per branch
+        df = cut_lineage(df)
     if has_src and max_per_src is not None:
         df = sampling.cap_per_group(df, "src", max_per_src, seed, key)
     df = sampling.cap_total_stratified(df, "label", max_total, seed, key)
