@@ -169,3 +169,37 @@ def stream_source_counts(spark, sf):
     out, ck = scratch_path(spark, "counts-out"), scratch_path(spark, "counts-ck")
     stream.run_source_counts(spark, inbox, out, ck, stream.default_scorer)
     return spark.read.parquet(out)
+
+
+# IO2 / P5 / IO7 ----------------------------------------------------------------
+@register("io_unlabelled_roundtrip", lambda: f"SELECT ID, text, src FROM ({O.reviews_sql()})")
+def io_unlabelled_roundtrip(spark, sf):
+    """IO2 + P5: ``ID,text,src`` CSV read back with IDs cast to bigint."""
+    path = scratch_path(spark, "unlabelled-csv")
+    r = V.reviews(spark, sf).select(F.col("ID").cast("string").alias("ID"), "text", "src")
+    io.write_reviews(r, path, "csv")
+    back = spark.read.options(**io._CSV).schema("ID string, text string, src string").csv(path)
+    return frames.cast_ids(back, ["ID"])
+
+
+@register("cached_scores", lambda: f"""SELECT ID, round(p[1], 6) AS p0, round(p[2], 6) AS p1, round(p[3], 6) AS p2
+FROM ({O.score_probs_sql()})""")
+def cached_scores(spark, sf):
+    """IO7: scores stored under an input+model fingerprint; the second call
+    reads the stored table instead of recomputing."""
+    base = scratch_path(spark, "score-cache")
+    compute = lambda: V.score_probs(spark, sf)
+    io.cached_scores(spark, base, sf, "scores_a", compute)
+    s = io.cached_scores(spark, base, sf, "scores_a", compute)
+    return s.select("ID", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(3)])
+
+
+@register("drop_flag_empty", lambda: f"""SELECT ID, length(text) = 0 AS is_empty FROM {O.clean_text_sql(
+    f"SELECT ID, CASE WHEN ID % 7 = 0 THEN '​' ELSE text END AS text FROM ({O.reviews_sql()})")}""")
+def drop_flag_empty(spark, sf):
+    """Texts that clean to nothing (every 7th is a lone zero-width
+    space) are flagged, the rest kept."""
+    from reviewlab.functions import text as T
+    r = V.reviews(spark, sf).select("ID", F.when(F.col("ID") % 7 == 0, F.lit("​"))
+                                    .otherwise(F.col("text")).alias("text"))
+    return frames.flag_empty(T.clean_text(frames.fill_text(r))).select("ID", "is_empty")

@@ -10,7 +10,7 @@ from reviewlab.operators import frames, profile as G, sampling as SMP
 from reviewlab.plans import jobs
 from reviewlab.plans import oracle as O
 from reviewlab.plans.catalog import register
-from reviewlab.session import cut_lineage
+from reviewlab.session import cut_lineage, spread
 from reviewlab.sources import testviews as V
 
 SEED = K.SEED
@@ -246,7 +246,7 @@ def _prepared_sql():
 
 
 def _prepared(spark, sf):
-    df = frames.dedup_exact(_labelled(spark, sf), ("text", "label"), "ID")
+    df = spread(cut_lineage(frames.dedup_exact(_labelled(spark, sf), ("text", "label"), "ID")))
     df = frames.drop_empty(T.clean_text(df))
     from reviewlab.functions.sentences import shorten
     df = cut_lineage(df.withColumn("text", shorten("text", K.MAX_TEXT_LEN_TRAIN)))
