@@ -54,7 +54,8 @@ def label_value(c, blank_as_zero: bool = False) -> Column:
     raw = F.trim(F.col(c).cast("string")) if isinstance(c, str) else F.trim(c.cast("string"))
     num = raw.try_cast("double")
     if blank_as_zero:
-        num = F.when(raw == "", F.lit(0.0)).otherwise(num)
+        # a missing field reads as "" in the original (``?? ""``), so null too
+        num = F.when(F.coalesce(raw, F.lit("")) == "", F.lit(0.0)).otherwise(num)
     return F.when(num.isin(*[float(x) for x in K.LABELS]), num.cast("int"))
 
 
