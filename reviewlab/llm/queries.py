@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from reviewlab.llm import ann, minhash, mixing, packing, pii, topk, toxicity
+from reviewlab.llm import ann, lm, minhash, mixing, packing, pii, quality, suffix, topk, toxicity
 
 QUERIES = {
+    "op1_suffix": suffix.op1_suffix,
     "op2_ann": ann.op2_ann,
+    "op3_quality": quality.op3_quality,
     "op4_top_k": topk.op4_top_k,
     "op5_minhash": minhash.op5_minhash,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_lm": lm.op8_lm,
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE: dict[str, str] = {"op4_top_k": topk.OP4_SQL}
+ORACLE: dict[str, str] = {"op1_suffix": suffix.OP1_SQL, "op4_top_k": topk.OP4_SQL}
