@@ -161,12 +161,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     same = stored(linked.select("doc_id", "one", "two").join(equal, ["one", "two"]).select("doc_id", "id"), "minhash-same")
     member = linked.join(same.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
     exploded = member.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct()
-    shared = exploded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    # stored, so that the join is of two plain exchanges and Spark can split a bucket of many rows
+    shared = stored(exploded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "minhash-shared")
     buckets = stored(exploded.join(shared, "key"), "minhash-buckets")
 
     company = buckets.groupBy("id").agg(F.sum("m").alias("company"))
     placed = buckets.join(company, "id")
-    hub = placed.groupBy("key").agg(F.max(F.struct("company", -F.col("id"))).alias("h")).select("key", (-F.col("h.col2")).alias("hub"))
+    hub = stored(placed.groupBy("key").agg(F.max(F.struct("company", -F.col("id"))).alias("h")).select("key", (-F.col("h.col2")).alias("hub")), "minhash-hubs")
     edges = (buckets.join(hub, "key").filter("id <> hub")
              .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     wanted = buckets.select("id").distinct()
