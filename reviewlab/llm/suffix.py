@@ -295,7 +295,8 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     points = keyed.mapInArrow(_anchor_rows(length), "gram long, context long, key long, at long")
-    twice = points.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # stored, so that the join is of two plain exchanges and Spark can split a gram of many rows
+    twice = stored(points.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "suffix-twice")
     shared = stored(points.join(twice, "gram"), "suffix-anchors")
     contexts = shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first"))
     contexts = stored(contexts.select("gram", "context", "n", "first.key", "first.at"), "suffix-contexts")
