@@ -120,3 +120,9 @@ ENSEMBLE_WEIGHT_STEP = 0.05
 ENSEMBLE_FOLDS = 5
 EARLY_STOP_PATIENCE = 2
 SCORING_BATCH_SIZE = 32
+
+
+# Emoji of Unicode 14 and 15, as ranges of a character class.
+NEW_EMOJI = (r"\x{1F6DC}-\x{1F6DF}\x{1F7F0}\x{1F979}\x{1F9CC}\x{1FA75}-\x{1FA77}\x{1FA7B}-\x{1FA7C}"
+             r"\x{1FA87}-\x{1FA88}\x{1FAA9}-\x{1FAAF}\x{1FAB7}-\x{1FABD}\x{1FABF}\x{1FAC3}-\x{1FAC5}"
+             r"\x{1FACE}-\x{1FACF}\x{1FAD7}-\x{1FADB}\x{1FAE0}-\x{1FAE8}\x{1FAF0}-\x{1FAF8}")

@@ -30,8 +30,9 @@ def _c(c) -> Column:
 # T1 ------------------------------------------------------------------------
 def strip_nonprintable(c) -> Column:
     """Delete characters Python's ``str.isprintable`` rejects: categories
-    C* and Z* except the ASCII space. Newlines vanish without a space."""
-    return F.regexp_replace(_c(c), r"[\p{C}\p{Z}&&[^ ]]", "")
+    C* and Z* except the ASCII space. Newlines vanish without a space. Emoji
+    that a JVM's older tables do not know yet are kept."""
+    return F.regexp_replace(_c(c), rf"[\p{{C}}\p{{Z}}&&[^ {K.NEW_EMOJI}]]", "")
 
 
 # T2 ------------------------------------------------------------------------
@@ -202,7 +203,9 @@ def clean_text(df: DataFrame, col: str = "text", out: str | None = None,
     stars (T8, T9). T16/T17 read their input several times, so the chain is
     materialised in three projections: Catalyst's CollapseProject will not
     inline a non-trivial expression that is referenced more than once, so
-    the regex chain is evaluated once per row (all in one codegen stage).
+    the regex chain is evaluated once per row. The one-row ``explode`` at
+    the end keeps later filters on the cleaned text from being pushed below
+    the chain, which would repeat it in the filter.
     """
     if profile not in PROFILES:
         raise ValueError(f"profile must be one of {PROFILES}")
@@ -211,7 +214,7 @@ def clean_text(df: DataFrame, col: str = "text", out: str | None = None,
     df = df.withColumn(tmp, _stage_a(F.col(col), profile))
     df = df.withColumn(tmp, mark_caps(tmp))
     df = df.withColumn(tmp, mark_english(tmp))
-    df = df.withColumn(out, squeeze_space(tmp))
+    df = df.withColumn(out, F.explode(F.array(squeeze_space(tmp))))
     return df.drop(tmp) if out != tmp else df
 
 

@@ -159,12 +159,13 @@ def join_truth(pred: DataFrame, truth: DataFrame, key: str = "ID",
 
 
 def join_source(pred: DataFrame, reviews: DataFrame, key: str = "ID", src: str = "src",
-                default: str = K.UNKNOWN_SOURCE) -> DataFrame:
+                default: str = K.UNKNOWN_SOURCE, order: str | None = None) -> DataFrame:
     """Left join predictions to the reviews' source; misses and blank
-    sources read ``default``. The reviews side is deduplicated on the key
-    (last write wins in the original's map) before the join."""
-    r = reviews.select(F.col(key), default_source(src, default).alias("__src"))
-    r = r.groupBy(key).agg(F.max("__src").alias("__src"))
+    sources read ``default``. Of several reviews with one key the last wins,
+    by ``order`` or, without it, by their place in the table as it is read."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    r = reviews.select(F.col(key), default_source(src, default).alias("__src"), place.alias("__at"))
+    r = r.groupBy(key).agg(F.max_by("__src", "__at").alias("__src"))
     return (pred.join(r, key, "left")
             .withColumn(src, F.coalesce(F.col("__src"), F.lit(default))).drop("__src"))
 

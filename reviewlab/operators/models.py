@@ -109,7 +109,7 @@ def train_svm(train: DataFrame, C: float = 0.1, tf: TextFeatures = TextFeatures(
 def train_trees(train: DataFrame, k: int = 200, depth: int = 6, rounds: int = 200,
                 tf: TextFeatures = TextFeatures(), label: str = "label"):
     """Truncated SVD of the TF-IDF rows, then one-vs-rest boosted trees.
-    Returns (vectorizer, V, tree model); score with ``score_trees``."""
+    Returns (vectorizer, V, tree model, features); score with ``score_trees``."""
     from pyspark.ml.functions import array_to_vector
     d = cut_lineage(_with_terms(train, tf))
     vec = fit_vectorizer(d, tf)
@@ -117,22 +117,17 @@ def train_trees(train: DataFrame, k: int = 200, depth: int = 6, rounds: int = 20
     V, _ = FT.truncated_svd(x, min(k, len(vec.stages[0].vocabulary)))
     z = FT.project(x.select("ID", label, "features"), V).withColumn("svd", array_to_vector("svd"))
     gbt = GBTClassifier(featuresCol="svd", labelCol=label, maxDepth=depth, maxIter=rounds)
-    return vec, V, OneVsRest(classifier=gbt, labelCol=label, featuresCol="svd").fit(z)
+    return vec, V, OneVsRest(classifier=gbt, labelCol=label, featuresCol="svd").fit(z), tf
 
 
 def score_trees(df: DataFrame, model, text: str = "text") -> DataFrame:
     from pyspark.ml.functions import array_to_vector
-    vec, V, ovr = model
-    tf = _features_of(vec)
+    vec, V, ovr, tf = model
     x = vec.transform(_with_terms(df, tf, text)).select("ID", "features")
     z = FT.project(x, V).withColumn("svd", array_to_vector("svd"))
     return ovr.transform(z).select("ID", F.col("prediction").cast("int").alias("label"))
 
 
-def _features_of(vec: PipelineModel) -> TextFeatures:
-    return getattr(vec, "_reviewlab_features", TextFeatures())
-
-
 # C4 ------------------------------------------------------------------------
 def random_search(train: DataFrame, val: DataFrame, n_trials: int = 5, seed: int = K.SEED,
                   sample: float = K.SEARCH_SAMPLE_FRACTION, label: str = "label"):
@@ -147,7 +142,7 @@ def random_search(train: DataFrame, val: DataFrame, n_trials: int = 5, seed: int
         analyzer = ["char", "word"][rng.randint(2)]
         ngram = (3, int(rng.choice([4, 5]))) if analyzer == "char" else (1, int(rng.choice([1, 2])))
         p = LogRegParams(C=float(10 ** rng.uniform(-1, 2)), penalty=["l2", "l1"][rng.randint(2)],
-                         class_weight=[None, "balanced"][rng.randint(2)], max_iter=50,
+                         class_weight=[None, "balanced"][rng.randint(2)], max_iter=1000,
                          features=TextFeatures(analyzer, ngram, 2, 0.95, int(rng.choice([5000, 20000]))))
         m = train_logreg(sub, p, label)
         f1 = M.summary(predict(val, m, p.features).join(val.select("ID", F.col(label).alias("y_true")), "ID")

@@ -32,15 +32,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for materialised intermediates.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only
-    when neither is set (local tests) does it create a scratch folder and
-    register it, so jobs never fall back to a machine-local path on a cluster.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Where
+    neither is set, a local master gets a scratch folder; on a cluster that
+    raises, as executors do not share a machine's folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="reviewlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
