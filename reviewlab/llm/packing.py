@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,31 +31,73 @@ WITH_IDS = T.StructType([*PIECES.fields, T.StructField("ids", T.BinaryType())])
 
 # --- token ids -------------------------------------------------------------------
 
-class _Words(dict):
-    """Ids, as little-endian 32-bit bytes, of words with a space before them."""
+#: Marks after a word that the tokenizer cuts off from its letters.
+_MARKS = ".,;:!?#$%&*|()[]{}<>/\\\"=+-_~@^`"
+#: White space beside a space: there the tokenizer's pieces may span the space.
+_WIDE = re.compile(r"\s | \s")
+
+
+def _pieces(word: str) -> list[str]:
+    """Strings that the byte-level tokenizer encodes apart and that make up
+    ``" " + word``: it cuts around a single line end and between letters and
+    marks. What is not plainly so stays whole."""
+    lines = word.split("\n")
+    if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+        return [" " + word]
+    out = []
+    for i, line in enumerate(lines):
+        body = line.rstrip(_MARKS)
+        lead = "\n" if i else " "
+        if i:
+            out.append("\n")
+            lead = ""
+        out += [lead + body, line[len(body):]] if body != line and body.isalpha() else [lead + line]
+    return out
+
+
+class _Words:
+    """Encodes texts; each distinct word once while the cache holds it."""
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.spaced, self.parts = tokenizer, {}, {}
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The whole texts' ids, as little-endian 32-bit bytes. The tokenizer
+        cuts before each single space between two other characters."""
+        if len(self.spaced) > CACHED_WORDS:
+            self.spaced, self.parts = {}, {}
+        heads, words, found, new = [], [], [], set()
+        for t in texts:
+            if _WIDE.search(t) or t[:1].isspace() or t[-1:].isspace():
+                first, rest = t, []
+            else:
+                first, *rest = t.split(" ")
+            got = list(map(self.spaced.get, rest))
+            if None in got:
+                new.update([w for w, g in zip(rest, got, strict=True) if g is None])
+            heads.append(first)
+            words.append(rest)
+            found.append(got)
+        cut = {w: _pieces(w) for w in new}
+        lacking = list({x for pieces in cut.values() for x in pieces if x not in self.parts})
+        for part, e in zip(lacking, self.tokenizer.encode_batch_fast(lacking, add_special_tokens=False), strict=True):
+            self.parts[part] = array("I", e.ids).tobytes()
+        for word, pieces in cut.items():
+            self.spaced[word] = b"".join([self.parts[x] for x in pieces])
+        ids = self.spaced
+        return [self.encode(h) + b"".join(got if None not in got else [ids[w] if g is None else g for w, g in zip(rest, got, strict=True)])
+                for h, rest, got in zip(heads, words, found, strict=True)]
 
 
-#: White space beside a space: there the tokenizer's pieces may span the space.
-_WIDE = re.compile(r"\s | \s")
 _loaded: dict[str, _Words] = {}
 
 
 def _words(path: str) -> _Words:
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
@@ -61,16 +105,6 @@ def _words(path: str) -> _Words:
     return _loaded[path]
 
 
-def encode(text: str, words: _Words) -> bytes:
-    """The whole text's ids. The byte-level tokenizer cuts before each single
-    space between two other characters, so such words are encoded apart, and
-    each distinct one once."""
-    if _WIDE.search(text) or text[:1].isspace() or text[-1:].isspace():
-        return words.encode(text)
-    first, *rest = text.split(" ")
-    return words.encode(first) + b"".join([words[w] for w in rest])
-
-
 # --- minimum bin slack -------------------------------------------------------------
 
 def fullest(counts: list[int], lengths: list[int], room: int) -> dict[int, int]:
@@ -185,8 +219,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
 
         for batch, texts in text_chunks(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = encode(text.decode(), words) + b"\0\0\0\0"
+            for doc, ids in zip(batch.column(0).to_pylist(), words([t.decode() for t in texts]), strict=True):
+                ids += b"\0\0\0\0"
                 total = len(ids) // 4
                 whole = total // window * window
                 for start in range(0, whole, window):
