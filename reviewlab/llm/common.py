@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,27 +38,28 @@ def remainder(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    """The columns that ``schema`` names, new ones before the batch's own."""
-    return pa.RecordBatch.from_arrays(
-        [new[n] if n in new else batch.column(batch.schema.get_field_index(n)) for n in schema.names], schema=schema)
-
-
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
                 limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of about ``limit`` bytes of text (one long text may be more),
     with the texts as UTF-8 bytes; null is an empty text."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-        texts = [t or b"" for t in column.to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         start = held = 0
-        for i, t in enumerate(texts):
-            if held and held + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate([*sizes.tolist(), limit + 1]):
+            if i > start and held + n > limit:
+                yield batch.slice(start, i - start), [t or b"" for t in column.slice(start, i - start).to_pylist()]
                 start, held = i, 0
-            held += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            held += n
+    release()
+
+
+def release() -> None:
+    """Gives a task's freed memory back to the system; a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 # --- word hashes ---------------------------------------------------------------
