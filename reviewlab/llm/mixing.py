@@ -9,6 +9,8 @@ from reviewlab.llm.common import WORD_PATTERN, documents, stored
 
 #: Parts into which a source's order is cut to find where its sample ends.
 PARTS = 4096
+#: Tables of one row a source are broadcast up to so many rows, and joined by shuffle beyond.
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, max_epochs: float) -> DataFrame:
@@ -69,8 +71,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
                         .withColumn("_words", F.col("target") - F.col("_whole") * F.col("source_size"))
                         .withColumnRenamed("source", "_source"), "mix-targets")
 
+    few = per_source.count() <= BROADCAST_SOURCES
+    small = F.broadcast if few else (lambda table: table)
+
     def ranked(df: DataFrame) -> DataFrame:
-        joined = df.join(per_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        joined = df.join(small(per_source), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         u = (F.shiftrightunsigned("_h", 12) + F.lit(0.5)) / F.lit(2.0**52)
         odds = (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))
         q = F.when(F.col("_p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0))
@@ -100,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
              .select(F.col("_es").alias("_ps"), F.col("_pick._q").alias("_pq"), F.col("_pick._h").alias("_ph")))
     marks = ending.join(picks, F.col("_es").eqNullSafe(F.col("_ps")), "left").drop("_ps")
 
-    full = ranked(sized.withColumn("_h", row_hash)).join(marks, F.col("source").eqNullSafe(F.col("_es")), "left")
+    full = ranked(sized.withColumn("_h", row_hash)).join(small(marks), F.col("source").eqNullSafe(F.col("_es")), "left")
     inside = F.coalesce((F.col("_q") < F.col("_eq")) | ((F.col("_q") == F.col("_eq")) & (F.col("_h") < F.col("_eh"))), F.col("_p") > 0)
     is_end, is_pick = (F.coalesce((F.col("_q") == F.col(f"_{x}q")) & (F.col("_h") == F.col(f"_{x}h")), F.lit(False)) for x in "ep")
     # equal rows share their place: only so many of them, the first by doc_id and text, are taken
