@@ -30,7 +30,7 @@ def features(texts: list[bytes], bits: int = BITS) -> list[np.ndarray]:
     one = hashes >> shift
     two = combine([hashes[:-1], hashes[1:]], salt=2) >> shift
     skip = combine([hashes[:-2], hashes[2:]], salt=3) >> shift
-    return [np.unique(np.concatenate([one[a:b], two[a:max(a, b - 1)], skip[a:max(a, b - 2)]])).astype(np.int64)
+    return [np.unique(np.concatenate([one[a:b], two[a:max(a, b - 1)], skip[a:max(a, b - 2)]])).astype(np.int32)
             for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
 
 
@@ -62,26 +62,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shards: in
     """Sparse weights from labels (doc_id, toxic 0/1) and the documents' texts.
 
     At most ``max_rows`` labelled documents are used, so the join is with a
-    broadcast table of that size, each shard has about max_rows / shards
-    texts, and the weights have 2**BITS entries at most. Null labels are left
-    out; a document with both labels counts as toxic; equal texts in a shard
-    count once. Without usable rows the weights are empty and the intercept
-    stands for a rate below one half.
+    broadcast table of that size, each shard has about max_rows / shards rows
+    of features, made where the texts are read, and the weights have 2**BITS
+    entries at most. Null labels are left out; a document with both labels
+    counts as toxic; equal texts in a shard count once. Without usable rows
+    the weights are empty and the intercept stands for a rate below one half.
     """
     chosen = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-            .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))))
+    text = F.coalesce("text", F.lit(""))
+    rows = (docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("digest"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+            .select("doc_id", "digest", "y", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "text"))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            made = [f.tobytes() for f in features(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], ["doc_id", "digest", "y", "shard", "features"])
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "text"]).drop_duplicates("text")
-        made = [f for t in np.array_split(part["text"].to_numpy(), max(1, len(part) // 256)) for f in features([x.encode() for x in t])]
-        order = np.random.default_rng(5).permutation(len(made))
-        bias, w = ftrl([made[i] for i in order], [int(part["y"].iloc[i]) for i in order])
+        part = part.sort_values(["doc_id", "digest"]).drop_duplicates("digest")
+        part = part.iloc[np.random.default_rng(5).permutation(len(part))]
+        bias, w = ftrl([np.frombuffer(f, np.int32) for f in part["features"]], part["y"].tolist())
         at = np.flatnonzero(w)
         return pd.DataFrame({"feature": np.append(at, -1), "weight": np.append(w[at], bias)})
 
-    fitted = rows.groupBy("shard").applyInPandas(train, "feature long, weight double")
+    fitted = rows.mapInArrow(featured, "doc_id long, digest string, y int, shard int, features binary").groupBy("shard").applyInPandas(train, "feature long, weight double")
     shared = fitted.groupBy("feature").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).collect()
     found = max([r["n"] for r in shared if r["feature"] == -1], default=1)
     return {"feature": np.array([r["feature"] for r in shared], np.int64),
