@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,8 +32,12 @@ WITH_IDS = T.StructType([*PIECES.fields, T.StructField("ids", T.BinaryType())])
 
 #: Marks after a word that the tokenizer cuts off from its letters.
 _MARKS = ".,;:!?#$%&*|()[]{}<>/\\\"=+-_~@^`"
-#: White space beside a space: there the tokenizer's pieces may span the space.
-_WIDE = re.compile(r"\s | \s")
+
+
+def _open(word: str) -> bool:
+    """Whether white space or nothing stands beside a space around the word:
+    there the tokenizer's pieces may span the space."""
+    return not word or word[0].isspace() or word[-1].isspace()
 
 
 def _pieces(word: str) -> list[str]:
@@ -42,7 +45,7 @@ def _pieces(word: str) -> list[str]:
     ``" " + word``: it cuts around a single line end and between letters and
     marks. What is not plainly so stays whole."""
     lines = word.split("\n")
-    if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+    if len(lines) > 1 and any(map(_open, lines)):
         return [" " + word]
     out = []
     for i, line in enumerate(lines):
@@ -69,27 +72,23 @@ class _Words:
         cuts before each single space between two other characters."""
         if len(self.spaced) > CACHED_WORDS:
             self.spaced, self.parts = {}, {}
-        heads, words, found, new = [], [], [], set()
+        heads, words, new = [], [], set()
         for t in texts:
-            if _WIDE.search(t) or t[:1].isspace() or t[-1:].isspace():
-                first, rest = t, []
-            else:
-                first, *rest = t.split(" ")
-            got = list(map(self.spaced.get, rest))
-            if None in got:
-                new.update([w for w, g in zip(rest, got, strict=True) if g is None])
+            first, *rest = t.split(" ")
+            unknown = set(rest).difference(self.spaced)
+            if _open(first) or any(map(_open, unknown)):  # such words are never known
+                first, rest, unknown = t, [], ()
             heads.append(first)
             words.append(rest)
-            found.append(got)
+            new.update(unknown)
         cut = {w: _pieces(w) for w in new}
         lacking = list({x for pieces in cut.values() for x in pieces if x not in self.parts})
         for part, e in zip(lacking, self.tokenizer.encode_batch_fast(lacking, add_special_tokens=False), strict=True):
             self.parts[part] = array("I", e.ids).tobytes()
         for word, pieces in cut.items():
             self.spaced[word] = b"".join([self.parts[x] for x in pieces])
-        ids = self.spaced
-        return [self.encode(h) + b"".join(got if None not in got else [ids[w] if g is None else g for w, g in zip(rest, got, strict=True)])
-                for h, rest, got in zip(heads, words, found, strict=True)]
+        ids = self.spaced.__getitem__
+        return [self.encode(h) + b"".join(map(ids, rest)) for h, rest in zip(heads, words, strict=True)]
 
 
 _loaded: dict[str, _Words] = {}
