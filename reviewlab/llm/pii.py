@@ -19,6 +19,12 @@ MALE = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "господ
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "госпожа")
 EITHER = ("Dr", "Prof")
 MARKERS = r"token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key"
+#: Lengths of account numbers by country, as in the IBAN registry.
+IBAN_LENGTH = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 #: Syllables of surrogate names, and their ends by gender.
 SYLLABLES = {"latin": ("ba", "den", "fo", "gil", "ka", "lor", "mi", "nel", "os", "pra", "ren", "sa", "tul", "ve", "wil", "zan"),
              "cyrillic": ("ба", "ден", "фо", "гил", "ка", "лор", "ми", "нел", "ос", "пра", "рен", "са", "тул", "ве", "вил", "зан")}
@@ -27,6 +33,10 @@ ENDS = {"latin": {"m": "on", "f": "ia", "x": "is", "surname": "ley"}, "cyrillic"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "|".join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse=True))
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*"
+CARD = re.compile(r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)")
+#: First digits and lengths of card issuers.
+ISSUED = re.compile(r"4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|220[0-4]\d{12,15}|3[47]\d{13}"
+                    r"|3(?:0[0-59]|[689]\d)\d{11}|35(?:2[89]|[3-8]\d)\d{12,15}|6\d{15,18}|5[06-8]\d{14,17}")
 PATTERN = re.compile("|".join([
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9]))",
     rf"(?P<secret>(?i:(?<![A-Za-z])(?:{MARKERS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<value>[A-Za-z0-9+/_-]{{16,}})))",
@@ -34,7 +44,7 @@ PATTERN = re.compile("|".join([
     rf"(?P<ip>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d))",
     r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     r"(?P<phone>(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1[ (.-])\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d))",
-    r"(?P<card>(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d))",
+    rf"(?P<card>{CARD.pattern})",
     rf"(?P<name>(?<!\w)(?P<title>{_TITLE})(?:\. ?| )(?P<words>{_CAPITAL}(?: {_CAPITAL})?))",
 ]))
 #: Without one of these a text holds none of the above.
@@ -52,15 +62,45 @@ def _iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _ends(text: str, start: int, end: int, kind: str) -> list[int]:
+    """Where a card or account number that begins at ``start`` may end: at
+    borders of groups up to ``end`` where its check digits hold, first those
+    with a length that its issuer or country has, then the last."""
+    least, usual = (13, ISSUED.fullmatch) if kind == "card" else (12, lambda v: len(v) == IBAN_LENGTH.get(v[:2]))
+    values = {e: re.sub(r"[ -]", "", text[start:e]) for e in range(end, start, -1) if e == end or text[e] in " -"}
+    held = [e for e, v in values.items() if len(v) >= least and (luhn(v) if kind == "card" else _iban_rest(v) == 1)]
+    return sorted(held, key=lambda e: not usual(values[e]))
+
+
+def _checked(text: str, start: int, end: int, kind: str) -> int | None:
+    """The end of the card or account number at ``start``, if there is one. A
+    card number of no issuer's kind gives way to one of an issuer's that
+    begins inside it."""
+    ends = _ends(text, start, end, kind)
+    if kind == "card" and ends and not ISSUED.fullmatch(re.sub(r"[ -]", "", text[start:ends[0]])):
+        for at in range(start + 1, ends[0]):
+            if text[at - 1] in " -" and (m := CARD.match(text, at)):
+                inside = _ends(text, at, m.end(), kind)
+                if inside and ISSUED.fullmatch(re.sub(r"[ -]", "", text[at:inside[0]])):
+                    return None
+    return ends[0] if ends else None
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of all entities. Spellings of one
     thing have one value. Card and account numbers count if their check digits
-    hold. The words of a name are entities of their own, so that a surname
+    hold, also before more groups of digits or capitals. The words of a name are entities of their own, so that a surname
     alone and with a given name go together."""
-    out = []
-    for m in PATTERN.finditer(text):
+    out, place = [], 0
+    while m := PATTERN.search(text, place):
         kind = next(k for k in KINDS if m[k] is not None)
         start, end = m.span("value" if kind == "secret" else kind)
+        place = m.end()
+        if kind in ("card", "iban"):
+            end = _checked(text, start, end, kind)
+            place = end or start + 1  # what else begins inside a rejected match
+            if end is None:
+                continue
         value = text[start:end]
         if kind == "name":
             title, words, at = m["title"], m["words"].split(" "), m.start("words")
@@ -75,8 +115,6 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             value = re.sub(r"\D", "", value)
         elif kind == "iban":
             value = value.replace(" ", "")
-        if kind == "card" and not luhn(value) or kind == "iban" and _iban_rest(value) != 1:
-            continue
         out.append((start, end, kind, value))
     return out
 

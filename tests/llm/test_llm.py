@@ -339,6 +339,22 @@ def test_surrogates_keep_type_format_and_identity(spark, empty):
     assert got[0]["found"]["card"] == 1 and pii.replace(empty).count() == 0
 
 
+@pytest.mark.parametrize("text, kind, shown", [
+    ("paid with 4111111111111111 12/25 today", "card", "4111111111111111"),
+    ("4111 1111 1111 1111 123", "card", "4111 1111 1111 1111"),
+    ("4111-1111-1111-1111-12/25", "card", "4111-1111-1111-1111"),
+    ("order 55 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+    ("378282246310005 1234", "card", "378282246310005"),
+    ("4111 1111 1111 1113 555-123-4567", "phone", "555-123-4567"),
+    ("BE68 5390 0754 7034 OK", "iban", "BE68 5390 0754 7034"),
+    ("BE68539007547034 1234 5678", "iban", "BE68539007547034"),
+    ("AB12 CD34 EF56 BE68 5390 0754 7034 NOW", "iban", "BE68 5390 0754 7034"),
+])
+def test_numbers_are_found_beside_other_groups(text, kind, shown):
+    assert [(k, text[a:b]) for a, b, k, _ in pii.entities(text)] == [(kind, shown)]
+    assert shown not in pii.replaced(text, b"k", {})[0]
+
+
 def test_surrogates_that_clash_try_again(spark, monkeypatch):
     values = [f"u{i}@x.org" for i in range(30)]
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt=0: f"s{(int(value[1:-6]) + 7 * attempt) % 40}@x.org" if value[0] == "u" else value)
