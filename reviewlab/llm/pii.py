@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from itertools import count
 
@@ -32,7 +34,28 @@ ENDS = {"latin": {"m": "on", "f": "ia", "x": "is", "surname": "ley"}, "cyrillic"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "|".join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse=True))
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*"
+
+
+def _upper() -> str:
+    """A regex class of all upper-case and title-case letters."""
+    at = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Lu", "Lt")]
+    first = [i for i, before in zip(at, [-2, *at], strict=False) if i != before + 1]
+    last = [i for i, after in zip(at, [*at[1:], -1], strict=True) if i + 1 != after]
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(first, last, strict=True)) + "]"
+
+
+_UPPER = _upper()
+_MARK = "\u0300-\u036f"
+#: Small words inside a name, which stay as they are.
+_PARTICLE = "van|von|vom|zu|zum|zur|der|den|dem|ter|ten|de|del|della|di|da|do|dos|das|du|des|la|las|le|los|y|e|bin|ibn|al|el|af|av|фон|де|ван"
+#: A capitalised word, and a name: initials, small words and any number of
+#: capitalised words. A single letter without a dot ends no longer name.
+_CAPITAL = rf"(?:[dl]['’])?{_UPPER}[\w{_MARK}]*(?:['’-][\w{_MARK}]+)*"
+_LEAD = rf"(?:{_UPPER}[{_MARK}]*\.[ -]?|(?:{_PARTICLE}) )"
+_WORDS = rf"{_LEAD}*{_CAPITAL}(?: {_LEAD}*(?!{_UPPER}(?![\w'’{_MARK}-])(?! {_UPPER})){_CAPITAL})*"
+#: A name's words: initials and capitalised words, without a genitive's end.
+_WORD = re.compile(rf"(?<![\w{_MARK}]){_CAPITAL}")
+_GENITIVE = re.compile(r"(?<=\w)['’]s$")
 CARD = re.compile(r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)")
 #: First digits and lengths of card issuers.
 ISSUED = re.compile(r"4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|220[0-4]\d{12,15}|3[47]\d{13}"
@@ -45,7 +68,7 @@ PATTERN = re.compile("|".join([
     r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     r"(?P<phone>(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1[ (.-])\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d))",
     rf"(?P<card>{CARD.pattern})",
-    rf"(?P<name>(?<!\w)(?P<title>{_TITLE})(?:\. ?| )(?P<words>{_CAPITAL}(?: {_CAPITAL})?))",
+    rf"(?P<name>(?<!\w)(?P<title>(?:(?:{_TITLE})(?:\. ?| ))*(?:{_TITLE}))(?:\. ?| )(?P<words>{_WORDS}))",
 ]))
 #: Without one of these a text holds none of the above.
 _HINT = re.compile(rf"[0-9@]|(?i:{MARKERS})|(?:{_TITLE})[. ]".encode())
@@ -89,9 +112,11 @@ def _checked(text: str, start: int, end: int, kind: str) -> int | None:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of all entities. Spellings of one
     thing have one value. Card and account numbers count if their check digits
-    hold, also before more groups of digits or capitals. The words of a name are entities of their own, so that a surname
-    alone and with a given name go together."""
-    out, place = [], 0
+    hold, also beside more groups of digits or capitals. The words of a name
+    are entities of their own, so that a surname alone and with a given name
+    go together; so are other capitalised mentions of them in the text, as
+    what they are first there. An initial is a given name of one letter."""
+    out, place, names = [], 0, {}
     while m := PATTERN.search(text, place):
         kind = next(k for k in KINDS if m[k] is not None)
         start, end = m.span("value" if kind == "secret" else kind)
@@ -103,11 +128,13 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 continue
         value = text[start:end]
         if kind == "name":
-            title, words, at = m["title"], m["words"].split(" "), m.start("words")
-            gender = "m" if title in MALE else "f" if title in FEMALE else "x"
-            for i, word in enumerate(words):
-                out.append((at, at + len(word), "surname" if i == len(words) - 1 else f"given_{gender}", word.casefold()))
-                at += len(word) + 1
+            titles = re.findall(_TITLE, m["title"])
+            gender = next((g for g, own in (("m", MALE), ("f", FEMALE)) if any(t in own for t in titles)), "x")
+            words = [_bare(text, *w.span()) for w in _WORD.finditer(text, m.start("words"), m.end("words"))]
+            for i, (a, b) in enumerate(words):
+                out.append((a, b, "surname" if i == len(words) - 1 else f"given_{gender}", _name(text[a:b])))
+                if len(out[-1][3]) > 1:
+                    names.setdefault(out[-1][3], out[-1][2])
             continue
         if kind == "email":
             value = value.lower()
@@ -116,6 +143,40 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         elif kind == "iban":
             value = value.replace(" ", "")
         out.append((start, end, kind, value))
+    return sorted([*out, *_mentions(text, names, out)]) if names else out
+
+
+def _bare(text: str, start: int, end: int) -> tuple[int, int]:
+    """The place of a name's word without the end of a genitive."""
+    m = _GENITIVE.search(text[start:end])
+    return start, end - len(m[0]) if m else end
+
+
+def _name(word: str) -> str:
+    return unicodedata.normalize("NFC", word).casefold().replace("’", "'")
+
+
+def _mentions(text: str, names: dict[str, str], found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Capitalised whole-word mentions of ``names``, alone or in a compound, outside of what is found."""
+    out, taken = [], iter([*found, (len(text) + 1, len(text) + 1, "", "")])
+    after = next(taken)
+    for m in _WORD.finditer(text):
+        parts = [(p.start() + m.start(), p.end() + m.start()) for p in re.finditer(rf"[\w{_MARK}]+", m[0])]
+        i = 0
+        while i < len(parts):
+            start = m.start() if i == 0 else parts[i][0]
+            ends = [e for _, e in parts[i:][::-1]]
+            end = next((e for e in ends if _name(text[start:e]) in names), None)
+            i += 1
+            if end is None or text[start:end].islower():
+                continue
+            while after[1] <= start:
+                after = next(taken)
+            if after[0] >= end:
+                value = _name(text[start:end])
+                out.append((start, end, names[value], value))
+            while i < len(parts) and parts[i][0] < end:
+                i += 1
     return out
 
 
@@ -177,7 +238,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
             script = "cyrillic" if re.search("[а-яё]", value) else "latin"
             parts = SYLLABLES[script]
             out = "".join(parts[s.below(len(parts))] for _ in range(4 + attempt // 4)) + ENDS[script]["surname" if kind == "surname" else kind[-1]]
-        if out != value:
+        if out != value and not (len(value) == 1 and out[0] == value):  # an initial shows the first letter
             return out
         attempt += 1
 
@@ -190,6 +251,8 @@ def rendered(shown: str, kind: str, out: str) -> str:
     if kind == "email":
         return out.upper() if shown.isupper() else out
     if kind == "surname" or kind.startswith("given_"):
+        if kind != "surname" and len(_name(shown)) == 1:
+            return out[0].upper()
         return out.upper() if shown.isupper() and len(shown) > 1 else out.capitalize()
     return out
 
@@ -240,7 +303,8 @@ def replace(docs: DataFrame, key: bytes = b"reviewlab", counts: str | None = Non
     """``docs`` with surrogates in ``text`` (and a map of counts by kind in column ``counts``).
 
     Emails, secrets after a marker, IBANs, IPv4 addresses, social security,
-    phone and card numbers, and names after a title. A surrogate hangs on the
+    phone and card numbers, and names after a title with their other mentions
+    in the same text. A surrogate hangs on the
     key, kind and value alone, so mentions of one thing agree in all
     documents; ``settled`` keeps different things apart. Only values that had
     to try again are joined to their documents, by doc_id; the rest is one

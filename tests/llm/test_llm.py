@@ -355,6 +355,24 @@ def test_numbers_are_found_beside_other_groups(text, kind, shown):
     assert shown not in pii.replaced(text, b"k", {})[0]
 
 
+@pytest.mark.parametrize("text, hidden, kept", [
+    ("Dr. J. Smith came. Smith and Anna Smith's dog left SMITH; blacksmith, smithy.", "J. Smith SMITH", ["Dr. ", "'s dog", "blacksmith, smithy"]),
+    ("Mr John Paul Smith met John", "John Paul Smith", ["Mr ", " met "]),
+    ("Mr Łukasz Żak, Łukasz", "Łukasz Żak", ["Mr "]),
+    ("Prof. Dr. J.R.R. van der Berg-Owen and Berg-Owen", "J. R. Berg Owen", ["Prof. Dr. ", " van der "]),
+    ("Madame d'Aubigny; Mr O’Neill, O'Neill; Mr Smith I think", "Aubigny Neill Smith", ["Madame ", " I think"]),
+    ("госпожа Анна Ивановна Петрова. Петрова ушла", "Анна Ивановна Петрова", ["госпожа ", " ушла"]),
+    ("Frau Smith, smith@mail.org, Smith-Jones", "Smith smith@mail.org", ["Frau ", "-Jones"]),
+])
+def test_names_are_found_whole_and_again(text, hidden, kept):
+    new = pii.replaced(text, b"k", {})[0]
+    assert not [h for h in hidden.split() if h in new] and not [k for k in kept if k not in new]
+    assert [k for *_, k, _ in pii.entities(new)] == [k for *_, k, _ in pii.entities(text)]
+    for value in {(k, v) for *_, k, v in pii.entities(text)}:
+        shown = {pii.rendered(text[a:b], k, pii.surrogate(b"k", k, v)).casefold() for a, b, k, v in pii.entities(text) if (k, v) == value}
+        assert len(shown) == 1
+
+
 def test_surrogates_that_clash_try_again(spark, monkeypatch):
     values = [f"u{i}@x.org" for i in range(30)]
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt=0: f"s{(int(value[1:-6]) + 7 * attempt) % 40}@x.org" if value[0] == "u" else value)
