@@ -200,6 +200,28 @@ def test_quality_keeps_trusted_text_and_drops_noise(spark, docs, empty):
     assert quality.classify(empty, empty.select("doc_id")).count() == 0
 
 
+def test_quality_learns_and_sets_thresholds_from_all_trusted_text(spark, monkeypatch):
+    word = [F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50))) for i in range(6)]
+    lang = F.when(F.col("id") % 1500 == 0, "rare").when(F.col("id") % 3 == 0, "fr").otherwise("en")
+    docs = common.stored(spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *word).alias("text"), lang.alias("lang")), "test-quality")
+    train, learnt = lm.train, []
+    monkeypatch.setattr(quality.lm, "train", lambda d, name: learnt.append(d.count()) or train(d, name))
+    out = quality.classify(docs, docs.select("doc_id")).toPandas()
+    held = docs.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(quality.HELD)) == 0).toPandas()["doc_id"]
+    assert learnt == [24_000 - len(held)]
+    for name, own in out.groupby("lang"):
+        values = np.sort(own.loc[own["doc_id"].isin(held), "perplexity"].to_numpy())
+        assert len(values) and set(own["threshold"]) == {values[int(np.ceil(quality.QUANTILE * len(values))) - 1]}, name
+
+
+def test_rows_with_ids_are_a_semi_join(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(quality.lm, "FILE_IDS", 7)
+    ids = spark.createDataFrame([(i,) for i in (*range(-5, 40, 2), 7, 7, 500, 10**12, None)], "doc_id long")
+    chosen = docs.select("doc_id", "text")
+    assert sorted(map(str, quality.with_ids(chosen, ids).collect())) == sorted(map(str, chosen.join(ids, "doc_id", "left_semi").collect()))
+    assert quality.with_ids(chosen, ids.limit(0)).count() == quality.with_ids(empty.select("doc_id", "text"), ids).count() == 0
+
+
 # --- 5: near-duplicates ------------------------------------------------------------------
 
 def _components(rows, width, percent):
