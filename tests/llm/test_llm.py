@@ -134,6 +134,24 @@ def test_neighbours_reach_recall_and_are_exact(spark):
     assert {r["query_id"] for r in got} == set(range(0, 400, 20))
 
 
+def test_neighbours_bound_rows_and_queries_of_a_task(spark, monkeypatch):
+    df = spark.createDataFrame(_vectors(), VECTORS)
+    whole = ann.neighbours(df, F.col("vec_id") % 2 == 0, k=5, leaf=16, block=150).collect()
+    rerank = ann._rerank
+
+    def watched(k):
+        run = rerank(k)
+
+        def check(part):
+            assert part["query"].sum() <= 60, "too many queries in one task"
+            return run(part)
+        return check
+
+    monkeypatch.setattr(ann, "_rerank", watched)
+    cut = ann.neighbours(df, F.col("vec_id") % 2 == 0, k=5, leaf=16, block=150, query_block=25).collect()
+    assert len({r["query_id"] for r in cut}) > 150 and sorted(map(str, cut)) == sorted(map(str, whole))
+
+
 def test_top_k_is_exact_across_blocks(spark):
     rows = _vectors()
     df = spark.createDataFrame([*rows, rows[50]], VECTORS)
