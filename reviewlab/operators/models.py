@@ -12,11 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest)
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -36,6 +38,9 @@ class TextFeatures:
     min_df: int | float = 2
     max_df: float = 0.95
     max_features: int = 20000
+    sublinear_tf: bool = False      # 1 + ln(tf)
+    norm: str | None = "l2"
+    use_idf: bool = True
 
     def terms(self, text="text"):
         lo, hi = self.ngram
@@ -50,6 +55,7 @@ class LogRegParams:
     l1_ratio: float = 0.5
     class_weight: str | None = "balanced"
     max_iter: int = 100
+    fit_intercept: bool = True
     features: TextFeatures = field(default_factory=TextFeatures)
 
 
@@ -57,14 +63,35 @@ def _with_terms(df: DataFrame, tf: TextFeatures, text: str = "text") -> DataFram
     return df.withColumn("terms", tf.terms(text))
 
 
+class Sublinear(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts as ``1 + ln(count)``; zeros stay."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        logs = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1.0 + np.log(v.values)), VectorUDT())
+        # a step of its own: MLlib's functions cannot hold Python's
+        return cut_lineage(df.withColumn(self.getOutputCol(), logs(self.getInputCol())))
+
+
 def fit_vectorizer(train: DataFrame, tf: TextFeatures) -> PipelineModel:
-    """CountVectorizer + smooth-IDF reweighting + l2 norm, fitted on train."""
+    """CountVectorizer + smooth-IDF reweighting + l2 norm, fitted on train;
+    with sublinear counts, or without either step, as ``tf`` says."""
+    most = float(2**63 - 1) if tf.max_df == 1.0 else float(tf.max_df)   # 1.0 would be one document
     cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=tf.max_features,
-                         minDF=float(tf.min_df), maxDF=float(tf.max_df)).fit(train)
-    idf = IDF(inputCol="tf", outputCol="__idf").fit(cv.transform(train))
-    scale = Vectors.dense(idf.idf.toArray() + 1.0)
-    return PipelineModel(stages=[cv, ElementwiseProduct(scalingVec=scale, inputCol="tf", outputCol="tfidf"),
-                                 Normalizer(inputCol="tfidf", outputCol="features", p=2.0)])
+                         minDF=float(tf.min_df), maxDF=most).fit(train)
+    scale = np.ones(len(cv.vocabulary))
+    if tf.use_idf:
+        idf = IDF(inputCol="tf", outputCol="__idf").fit(cv.transform(train))
+        scale = idf.idf.toArray() + 1.0
+    stages = [cv]
+    if tf.sublinear_tf:
+        sub = Sublinear()
+        sub._set(inputCol="tf", outputCol="logtf")
+        stages.append(sub)
+    stages.append(ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="logtf" if tf.sublinear_tf else "tf",
+                                     outputCol="tfidf" if tf.norm else "features"))
+    if tf.norm:
+        stages.append(Normalizer(inputCol="tfidf", outputCol="features", p={"l1": 1.0, "l2": 2.0}[tf.norm]))
+    return PipelineModel(stages=stages)
 
 
 def _weights(train: DataFrame, mode: str | None, label: str = "label") -> DataFrame:
@@ -88,7 +115,7 @@ def train_logreg(train: DataFrame, p: LogRegParams = LogRegParams(), label: str
     enet = {"l2": 0.0, "l1": 1.0, "elasticnet": p.l1_ratio}[p.penalty]
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
                             family="multinomial", regParam=1.0 / (p.C * n), elasticNetParam=enet,
-                            standardization=False, maxIter=p.max_iter)
+                            standardization=False, maxIter=p.max_iter, fitIntercept=p.fit_intercept)
     return PipelineModel(stages=[*vec.stages, lr.fit(d)])
 
 
@@ -129,6 +156,20 @@ def score_trees(df: DataFrame, model, text: str = "text") -> DataFrame:
 
 
 # C4 ------------------------------------------------------------------------
+def random_params(rng: np.random.RandomState) -> LogRegParams:
+    """A draw from the original's search space."""
+    def one(*of):
+        return of[rng.randint(len(of))]
+    analyzer = one("word", "char")
+    tf = TextFeatures(analyzer, one((1, 1), (1, 2), (1, 3)) if analyzer == "word" else one((3, 5), (3, 6), (3, 7)),
+                      max_features=one(30_000, 50_000, 80_000, 120_000), min_df=one(2, 5, 10), max_df=one(0.9, 0.95, 1.0),
+                      sublinear_tf=one(True, False), norm=one("l2", None), use_idf=one(True, False))
+    penalty = "l2" if one("lbfgs", "saga") == "lbfgs" else one("l1", "l2", "elasticnet")
+    return LogRegParams(C=float(10 ** rng.uniform(-3, 2)), penalty=penalty,
+                        l1_ratio=float(rng.uniform()) if penalty == "elasticnet" else 0.5,
+                        class_weight=one(None, "balanced"), max_iter=1000, fit_intercept=one(True, False), features=tf)
+
+
 def random_search(train: DataFrame, val: DataFrame, n_trials: int = 5, seed: int = K.SEED,
                   sample: float = K.SEARCH_SAMPLE_FRACTION, label: str = "label"):
     """Seeded random search over the logistic-regression space, scored by
@@ -139,11 +180,7 @@ def random_search(train: DataFrame, val: DataFrame, n_trials: int = 5, seed: int
     sub = sample_fraction(train, sample, seed)
     trials = []
     for t in range(n_trials):
-        analyzer = ["char", "word"][rng.randint(2)]
-        ngram = (3, int(rng.choice([4, 5]))) if analyzer == "char" else (1, int(rng.choice([1, 2])))
-        p = LogRegParams(C=float(10 ** rng.uniform(-1, 2)), penalty=["l2", "l1"][rng.randint(2)],
-                         class_weight=[None, "balanced"][rng.randint(2)], max_iter=1000,
-                         features=TextFeatures(analyzer, ngram, 2, 0.95, int(rng.choice([5000, 20000]))))
+        p = random_params(rng)
         m = train_logreg(sub, p, label)
         f1 = M.summary(predict(val, m, p.features).join(val.select("ID", F.col(label).alias("y_true")), "ID")
                        .withColumnRenamed("label", "y_pred")).first()["macro_f1_present"]
@@ -188,17 +225,18 @@ def batch_score(df: DataFrame, make_predict_fn, text: str = "text", key: str = "
 
 
 def letter_model_factory(seed: int = K.SEED, num_labels: int = 3):
-    """A tiny NumPy model for tests and demos: letter-frequency features and
-    a fixed random linear layer, softmax output."""
+    """A tiny NumPy model for tests and demos: frequencies of all letters,
+    a-z each and others by code point in 256 places, and a fixed random
+    linear layer, softmax output."""
     def make():
-        w = np.random.RandomState(seed).normal(size=(27, num_labels))
+        w = np.random.RandomState(seed).normal(size=(27 + 256, num_labels))
 
         def fn(texts):
-            x = np.zeros((len(texts), 27))
+            x = np.zeros((len(texts), len(w)))
             for r, t in enumerate(texts):
-                b = np.frombuffer(str(t).lower().encode("ascii", "ignore"), dtype=np.uint8)
-                b = b[(b >= 97) & (b <= 122)] - 97
-                x[r, :26] = np.bincount(b, minlength=26)[:26] / max(len(b), 1)
+                b = np.array([ord(c) for c in str(t).lower() if c.isalpha()], np.int64)
+                place = np.where((b >= 97) & (b <= 122), b - 97, 27 + b % 256)
+                x[r] = np.bincount(place, minlength=len(w)) / max(len(b), 1)
                 x[r, 26] = 1.0
             z = x @ w
             z = np.exp(z - z.max(axis=1, keepdims=True))

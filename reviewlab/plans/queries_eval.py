@@ -170,7 +170,7 @@ def _argmax_sql(p):
   {_argmax_sql('p')} AS label FROM ({_ens_sql()})""")
 def ensemble_argmax(spark, sf):
     """J5 + E1 + E2: 0.35 / 0.65 mix of two score tables, then argmax."""
-    e = E.ensemble(V.score_probs(spark, sf), V.score_probs(spark, sf, *MODEL_B), W_A, W_B)
+    e = E.ensemble(V.score_probs(spark, sf), V.score_probs(spark, sf, *MODEL_B), W_A, W_B, strict=False)  # null rows, as its SQL
     return e.select("ID", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(3)],
                     E.argmax_label("p").alias("label"))
 
@@ -230,7 +230,7 @@ def leaderboard(spark, sf):
     long = (V.preds(spark, sf).select(F.lit("rule").alias("model"), "ID", F.col("y_pred").alias("label"))
             .unionByName(pa.select(F.lit("scores_a").alias("model"), "ID", E.argmax_label("p").alias("label")))
             .unionByName(pb.select(F.lit("scores_b").alias("model"), "ID", E.argmax_label("p").alias("label")))
-            .unionByName(E.ensemble(pa, pb, W_A, W_B).select(
+            .unionByName(E.ensemble(pa, pb, W_A, W_B, strict=False).select(
                 F.lit("ensemble").alias("model"), "ID", E.argmax_label("p").alias("label"))))
     truth = frames.valid_labels(V.reviews(spark, sf).select("ID", "label"))
     return M.leaderboard(long, truth)
