@@ -48,7 +48,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A fitted model, hashing and a tokenizer have no SQL form; tests/llm has a brute-force version.
+#: A fitted model, hashing and a tokenizer have no SQL form; tests/llm holds the operators against
+#: brute force one by one, and of the whole checks columns, ids and a row count.
 ORACLE_SQL = None
 
 

@@ -202,10 +202,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with all their columns; of
-    rows that share a doc_id all stay."""
-    gone = near_duplicates(docs, width, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates, with all its columns: that of
+    the smallest doc_id, null last. Rows are told apart by a key of their own,
+    so equal doc_ids and null ones keep no copies. A null or empty text is a
+    copy of nothing."""
+    # stored, so that the keys are the same whenever they are read
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-rows")
+    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row").alias("place")
+    groups = stored(found.join(keyed.select("_row", place), "_row"), "minhash-groups")
+    first = groups.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = groups.join(first, "component_id").filter(F.col("_row") != F.col("first._row")).select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:

@@ -272,6 +272,15 @@ def test_near_duplicates_match_brute_force(docs, rows, empty, width, percent):
     assert kept.columns == docs.columns and kept.filter("doc_id IS NULL OR doc_id = 500").count() == 2
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    texts = _texts(12, 6)
+    rows = [(4, texts[0], "b"), (4, texts[0], "b"), (3, texts[0], "a"), (None, texts[0], "n"), (None, texts[1], "n"), (None, texts[1], "n"),
+            (7, texts[2], "x"), (7, texts[3], "y"), (7, texts[2], "x"), (8, "", "e"), (8, "", "e"), (9, None, "z")]
+    out = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    wanted = [(3, texts[0], "a"), (None, texts[1], "n"), (7, texts[2], "x"), (7, texts[3], "y"), (8, "", "e"), (8, "", "e"), (9, None, "z")]
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, wanted))
+
+
 def test_near_duplicates_in_a_family_without_one_centre(spark):
     """A chain: each text differs from the next in one word, the ends in many."""
     base = [f"b{i}" for i in range(120)]
