@@ -134,6 +134,14 @@ def test_neighbours_reach_recall_and_are_exact(spark):
     assert {r["query_id"] for r in got} == set(range(0, 400, 20))
 
 
+def test_neighbours_take_the_most_frequent_length(spark):
+    good = [(i, [float(i + 1), 1.0, -float(i % 3)]) for i in range(30)]
+    ids = spark.range(2000).orderBy(F.xxhash64("id")).limit(1).first()[0]  # the first by hash is odd
+    rows = [(i, v) for i, v in good if i != ids] + [(ids, [1.0, 2.0])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 5, k=3).collect()
+    assert {r["query_id"] for r in got} == {0, 1, 2, 3, 4} - {ids} and ids not in {r["vec_id"] for r in got}
+
+
 def test_neighbours_bound_rows_and_queries_of_a_task(spark, monkeypatch):
     df = spark.createDataFrame(_vectors(), VECTORS)
     whole = ann.neighbours(df, F.col("vec_id") % 2 == 0, k=5, leaf=16, block=150).collect()
