@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewlab.llm import ann, lm, minhash, mixing, packing, pii, quality, suffix, topk, toxicity
+from reviewlab.llm import ann, lexical, lm, minhash, mixing, negatives, packing, pii, quality, simhash, suffix, topk, toxicity
 
 QUERIES = {
     "op1_suffix": suffix.op1_suffix,
@@ -15,5 +15,9 @@ QUERIES = {
     "op8_lm": lm.op8_lm,
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_negatives": negatives.op13_negatives,
 }
-ORACLE: dict[str, str] = {"op1_suffix": suffix.OP1_SQL, "op4_top_k": topk.OP4_SQL}
+ORACLE: dict[str, str] = {"op1_suffix": suffix.OP1_SQL, "op4_top_k": topk.OP4_SQL, "op11_lexical": lexical.OP11_SQL,
+                          "op13_negatives": negatives.OP13_SQL}
