@@ -225,6 +225,8 @@ def train(docs: DataFrame, name: str = "lm") -> Model:
 
     vocabulary = stored(texts.mapInArrow(words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), f"{name}-words")
     n = vocabulary.count()
+    if n >= 2**32 - 1:
+        raise ValueError("a word's id must fit 32 bits")
     manifest = (vocabulary.repartitionByRange(max(1, -(-n // FILE_WORDS)), F.col("h") < 0, "h")  # as unsigned numbers
                 .mapInArrow(word_files, "first long, n long, tokens long, hashes string, counts string").collect())
     model, at = Model(distinct=n, tokens=sum(r["tokens"] for r in manifest)), 0
@@ -266,7 +268,7 @@ def train(docs: DataFrame, name: str = "lm") -> Model:
         context = (keys >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         sums = np.stack([np.add.reduceat(x, first) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts >= 3).astype(np.int64))], 1)
-        paths = [save(f"{base}/{k}", a) for k, a in (("keys", keys), ("pair-counts", counts.astype(np.uint32)), ("contexts", context[first]), ("sums", sums))]
+        paths = [save(f"{base}/{k}", a) for k, a in (("keys", keys), ("pair-counts", counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.uint64)), ("contexts", context[first]), ("sums", sums))]
         rows = [(0, int(part["shard"].iloc[0]), b"", b"", paths, np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist())]
         second, follows = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
         block = second // FILE_IDS

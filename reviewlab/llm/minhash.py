@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlab.llm.common import combine, documents, mix64, shingle_sets, signed, stored, text_chunks
+from reviewlab.llm.common import combine, documents, free_name, mix64, shingle_sets, signed, stored, text_chunks
 from reviewlab.llm.graph import components
 
 #: A pair at 0.85 shares no band with probability (1 - 0.85**5)**24, below one in a million.
@@ -206,14 +206,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     the smallest doc_id, null last. Rows are told apart by a key of their own,
     so equal doc_ids and null ones keep no copies. A null or empty text is a
     copy of nothing."""
+    row = free_name(docs.columns, "_row")
     # stored, so that the keys are the same whenever they are read
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-rows")
-    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
+    own = keyed.select(F.col(row).alias("_row"), "doc_id", "text")
+    found = near_duplicates(own.select(F.col("_row").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("_row"), "component_id")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row").alias("place")
-    groups = stored(found.join(keyed.select("_row", place), "_row"), "minhash-groups")
+    groups = stored(found.join(own.select("_row", place), "_row"), "minhash-groups")
     first = groups.groupBy("component_id").agg(F.min("place").alias("first"))
-    gone = groups.join(first, "component_id").filter(F.col("_row") != F.col("first._row")).select("_row")
-    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = groups.join(first, "component_id").filter(F.col("_row") != F.col("first._row")).select(F.col("_row").alias(row))
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:

@@ -57,7 +57,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     """
     made = ["size", "source_size", "target", "copies", "taken"]
     docs = docs.drop(*[out_prefix + m for m in made])
-    sized = docs.drop(*made).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
+    # the caller's columns stand in one, so that no name of this computation meets theirs
+    sized = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_input")).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
     row_hash = F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.coalesce("text", F.lit(""))))
     # the order needs a row's hash and size only; texts are read again at the end
     keys = stored(sized.select("source", "size", row_hash.alias("_h")), "mix-sizes")
@@ -115,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     out = rest.withColumn("copies", F.col("_whole") + F.when(inside, 1).otherwise(0)).unionByName(
         ends_at.withColumn("_nth", nth).withColumn("copies", F.col("_whole") + F.when(F.col("_nth") <= marked, 1).otherwise(0)).drop("_nth"))
     out = out.withColumn("copies", F.col("copies").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*docs.columns, *[F.col(m).alias(out_prefix + m) for m in made])
+    return out.select("_input.*", *[F.col(m).alias(out_prefix + m) for m in made])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

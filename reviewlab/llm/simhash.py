@@ -78,79 +78,60 @@ def _mask(positions) -> int:
     return sum(1 << p for p in positions)
 
 
-def _longs(masks: list[int]):
+def _bits(masks: list[int]):
     return F.array(*[F.lit(_long(m)).cast("long") for m in masks])
 
 
 def links(prints: DataFrame, distance: int = 2, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between ids of ``prints`` (id long, print long, distinct)
-    that connect all pairs of at most ``distance`` (0 to 3) differing bits, and no others.
+    that connect all pairs of at most ``distance`` (0 to 2) differing bits, and no others.
 
     The 64 bits are cut into distance + 1 segments on a ring. If two prints
     differ in at most ``distance`` bits, some chain of segments has at most l - 1
-    differences in its first l segments, for every l: its first segment is
-    equal, and the next holds one difference at most. So a print's chains are
-    its buckets: one for two equal segments, and one for each bit of the second
-    in which it may differ, where only prints that have it and prints that have
-    it not are paired. Longer chains are checked before the whole prints.
+    differences in its first l segments, for every l. So its first segment is
+    equal, and of the next, with one difference at most, one half is: these
+    bits are a bucket's key, and each print stands in two buckets a segment.
+    Pairs in a bucket must pass the chain's longer budgets before the whole
+    prints are compared.
 
     A bucket of over ``hot`` members is not paired but split by all choices of
     the bits that may still differ: what agrees in all other bits is within
     the distance, so that edges to the smallest id join it.
     """
-    if not 0 <= distance <= 3:
-        raise ValueError("distance must be 0 to 3")
-    spark, count = prints.sparkSession, distance + 1
+    if not 0 <= distance <= 2:
+        raise ValueError("distance must be 0 to 2")
+    count = distance + 1
     if not distance:
-        return spark.createDataFrame([], "a long, b long")
+        return prints.sparkSession.createDataFrame([], "a long, b long")
     segments = [list(range(64 * i // count, 64 * (i + 1) // count)) for i in range(count)]
     chains = [[segments[(i + j) % count] for j in range(count)] for i in range(count)]  # from segment i around the ring
+    keys = [first + half for first, second, *_ in chains for half in (second[:len(second) // 2], second[len(second) // 2:])]
+
+    way = F.explode(F.array(*[F.struct(F.lit(n).alias("way"), F.col("print").bitwiseAND(F.lit(_long(_mask(k))).cast("long")).alias("held")) for n, k in enumerate(keys)]))
+    placed = prints.select("id", "print", way.alias("w")).select("id", "print", "w.way", "w.held")
+    # stored, so that the join is of two plain exchanges and Spark can split a bucket of many rows
+    shared = stored(placed.groupBy("way", "held").agg(F.count("*").alias("m")).filter("m > 1"), "simhash-shared")
+    open_ = stored(placed.join(shared, ["way", "held"]), "simhash-open")
 
-    # chains of one segment: what is alone there is linked with nothing through it
-    first = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("print").bitwiseAND(F.lit(_long(_mask(s))).cast("long")).alias("held")) for i, s in enumerate(segments)]))
-    one = prints.select("id", "print", first.alias("f")).select("id", "print", "f.i", "f.held")
-    shared = stored(one.groupBy("i", "held").count().filter("count > 1").select("i", "held"), "simhash-one")
-    alive = stored(one.join(shared, ["i", "held"]).select("id", "print", "i"), "simhash-alive")
-
-    # chains of two: bit -1 where both are equal, else the bit of the second that may differ
-    ways = []
-    for i, (a, b, *_) in enumerate(chains):
-        masks = [(p, _mask(set(a + b) - {p})) for p in (-1, *b)]
-        ways.append(F.array(*[F.struct(F.lit(65 * i + p + 1).alias("way"), F.lit(p).alias("bit"), F.lit(_long(m)).cast("long").alias("mask")) for p, m in masks]))
-    ways = F.element_at(F.array(*ways), F.col("i") + 1)
-    side = F.when(F.col("w.bit") < 0, F.lit(-1)).otherwise(F.expr("CAST(shiftrightunsigned(print, w.bit) & 1 AS INT)"))
-    two = (alive.select("id", "print", "i", F.explode(ways).alias("w"))
-           .select("id", "print", "i", F.col("w.way").alias("way"), F.col("print").bitwiseAND(F.col("w.mask")).alias("held"), side.alias("side")))
-    met = (two.groupBy("way", "held").agg(F.count("*").alias("m"), F.max("side").alias("hi"), F.min("side").alias("lo"))
-           .filter("m > 1 AND (hi = -1 OR lo < hi)").select("way", "held", "m"))
-    met = stored(met, "simhash-two")
-    open_ = stored(two.join(met, ["way", "held"]), "simhash-open")
-
-    # pairs of small buckets: those without the bit against those with it, or by id where all is equal
     few = open_.filter(F.col("m") <= hot)
-    left = few.filter("side < 1").select("way", "held", "i", F.col("id").alias("a"), F.col("print").alias("pa"), "side")
-    right = few.filter("side <> 0").select("way", "held", F.col("id").alias("b"), F.col("print").alias("pb"))
+    left = few.select("way", "held", F.col("id").alias("a"), F.col("print").alias("pa"))
+    right = few.select("way", "held", F.col("id").alias("b"), F.col("print").alias("pb"))
     apart = F.col("pa").bitwiseXOR(F.col("pb"))
     near = F.bit_count(apart) <= distance
-    for n in range(3, count):  # the chain's next segments
-        around = F.element_at(_longs([_mask(sum(c[:n], [])) for c in chains]), F.col("i") + 1)
-        near = (F.bit_count(apart.bitwiseAND(around)) <= n - 1) & near
-    pairs = left.join(right, ["way", "held"]).filter("side = 0 OR a < b").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for n in range(2, count):  # the first n segments of the chain
+        around = _bits([_mask(sum(chains[w // 2][:n], [])) for w in range(len(keys))])
+        near = (F.bit_count(apart.bitwiseAND(F.element_at(around, F.col("way") + 1))) <= n - 1) & near
+    edges = left.join(right, ["way", "held"]).filter("a < b").filter(near).select("a", "b")
 
-    # large buckets: one smaller bucket for each choice of the bits that may still differ
-    edges = pairs
     many = open_.filter(F.col("m") > hot)
-    for i, (a, b, *rest) in enumerate(chains):
-        left_bits = sum(rest, [])
-        for equal in (True, False):
-            free = min(distance if equal else distance - 1, len(left_bits))
-            kept = _longs([ALL ^ _mask(c) for c in combinations(left_bits, free)])
-            part = many.filter((F.col("i") == i) & ((F.col("side") < 0) if equal else (F.col("side") >= 0)))
-            # of the bits the bucket leaves open, the second segment's is fixed by the way
-            split = (part.select("id", "print", "way", "held", F.posexplode(kept).alias("choice", "kept"))
-                     .select("id", "way", "choice", "held", F.col("print").bitwiseAND(F.col("kept")).bitwiseAND(F.lit(_long(_mask(left_bits))).cast("long")).alias("more")))
-            lows = split.groupBy("way", "choice", "held", "more").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.collect_set("id").alias("ids")).filter("a < z")
-            edges = edges.unionByName(lows.select("a", F.explode("ids").alias("b")).filter("a < b"))
+    for n, k in enumerate(keys):
+        free = [b for b in range(64) if b not in k]
+        kept = _bits([ALL ^ _mask(c) for c in combinations(free, distance)])
+        split = (many.filter(F.col("way") == n).select("id", "print", F.posexplode(kept).alias("choice", "kept"))
+                 .select("id", "choice", F.col("print").bitwiseAND(F.col("kept")).alias("held")))
+        # only the freed bits differ, so a group has 2 ** distance members at most
+        met = split.groupBy("choice", "held").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids")).filter(F.size("ids") > 1)
+        edges = edges.unionByName(met.select("a", F.explode("ids").alias("b")).filter("a < b"))
     return edges.distinct()
 
 

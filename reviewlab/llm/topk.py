@@ -59,16 +59,16 @@ def best(values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _block(k: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         asks = part["query"].to_numpy()
-        ask, offer = part[asks].drop_duplicates("id"), part[~asks].drop_duplicates("id")
-        ids, out = offer["id"].to_numpy(), []
+        ask, offer = part[asks], part[~asks]
+        ids, rows, out = offer["id"].to_numpy(), offer["row"].to_numpy(), []
         weights = [np.asarray(v) for v in offer["vector"]]
         for at in range(0, len(ask), 64):
             some = ask.iloc[at:at + 64]
-            for query, row in zip(some["id"], scores([np.asarray(v) for v in some["vector"]], weights), strict=True):
-                own = ids != query
+            for at_row, query, row in zip(some["row"], some["id"], scores([np.asarray(v) for v in some["vector"]], weights), strict=True):
+                own = rows != at_row
                 top = best(row[own], ids[own], k)
-                out += [(query, i, int(np.clip(int(s), LONG.min, LONG.max))) for i, s in zip(ids[own][top], row[own][top], strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                out += [(at_row, query, i, int(np.clip(int(s), LONG.min, LONG.max))) for i, s in zip(ids[own][top], row[own][top], strict=True)]
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
     return run
 
 
@@ -84,24 +84,25 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id:
 
     Vectors that are null or hold a null, NaN or infinite component take no
     part, nor do rows without an id; an empty vector scores 0, and a shorter
-    one counts as filled with 0. Rows with one id are one row (equal ones
-    once; of different ones, any). With fewer than k candidates all are given. Scores
+    one counts as filled with 0. Each row is a row of its own, also where ids
+    repeat: others of its id are candidates, and a query given twice is answered twice. With fewer than k candidates all are given. Scores
     beyond 64 bits are held at the limit. Other columns are not read.
     """
-    rows = (vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = (vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
             .filter(F.col("id").isNotNull() & valid("v")))
-    total, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
+    # stored, so that the keys are the same whenever they are read
+    whole = stored(rows.select("row", "id", "asks", F.transform("v", lambda x: F.floor(x * scale)).alias("vector")), "topk-rows")
+    total, asking = whole.agg(F.count("*"), F.count_if("asks")).first()
     n, q = -(-max(total, 1) // candidates), -(-max(asking, 1) // query_block)
-    whole = rows.select("id", "asks", F.transform("v", lambda x: F.floor(x * scale)).alias("vector"))
-    mine = F.xxhash64("id")
-    offered = whole.select("id", "vector", F.lit(False).alias("query"), F.pmod(mine, F.lit(n)).alias("c"),
+    mine = F.xxhash64("row")
+    offered = whole.select("row", "id", "vector", F.lit(False).alias("query"), F.pmod(mine, F.lit(n)).alias("c"),
                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))).alias("q"))
-    asked = whole.filter("asks").select("id", "vector", F.lit(True).alias("query"),
+    asked = whole.filter("asks").select("row", "id", "vector", F.lit(True).alias("query"),
                                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("c"),
                                         F.pmod(F.shiftright(mine, 20), F.lit(q)).alias("q"))
     found = stored(offered.unionByName(asked.select(*offered.columns)).groupBy("c", "q")
-                   .applyInPandas(_block(k), "query_id long, vec_id long, score long"), "topk")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                   .applyInPandas(_block(k), "row long, query_id long, vec_id long, score long"), "topk")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -111,16 +112,16 @@ def op4_top_k(spark, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS e
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r AS r, q.vec_id AS query_id, c.vec_id AS vec_id,
          coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

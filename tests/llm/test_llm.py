@@ -2,12 +2,16 @@
 nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from reviewlab.llm import ann, common, graph, lm, minhash, mixing, packing, pii, quality, suffix, topk, toxicity
@@ -162,7 +166,7 @@ def test_neighbours_bound_rows_and_queries_of_a_task(spark, monkeypatch):
 
 def test_top_k_is_exact_across_blocks(spark):
     rows = _vectors()
-    df = spark.createDataFrame([*rows, rows[50]], VECTORS)
+    df = spark.createDataFrame(rows, VECTORS)
     x = {r[0]: np.floor(256 * np.array(r[1], float)).astype(int) for r in rows if r[0] is not None and r[0] not in (1000, 1040, 1080)}
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, candidates=70, query_block=3).collect()
     for q in [i for i in x if i % 50 == 0]:
@@ -311,9 +315,7 @@ def test_components(spark):
 # --- 6: packing -------------------------------------------------------------------------
 
 def test_packing_is_a_round_trip(docs, rows, empty):
-    from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(packing.vocabulary())
-    tokenizer.encode_special_tokens = True
     out = packing.pack(docs, packing.vocabulary(), with_ids=True).collect()
     want = Counter((r[0], (*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0)) for r in rows)
     pieces = {}
@@ -339,8 +341,22 @@ def test_packing_is_a_round_trip(docs, rows, empty):
 
 def test_words_are_encoded_as_in_the_text():
     words = packing._words(packing.vocabulary())
-    texts = ["", " ", "a  b", "x \n y", "a\nb c\nd, e.\n\nf g", "don't stop. it's a_b 3rd x²   z", "tab\tx y\t z", "<|endoftext|> a <|endoftext|>", "é,\nÉa (b) 'c' d'", "a\r\nb c\r\n", "\n", "w\n\nx y"]
-    assert words(texts) == [words.encode(t) for t in texts]
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids.count(50256) == 1
+    texts = ["", " ", "a  b", "one <|endoftext|>two <|endoftext", "ʼn ɐlpha ꟲ ⅷ a\u0301 ß. ſ, word! (word) word... 12, x1. \x1cq r\x85s\u2003 t", "Слово, слово. 中文 字。 ½ ²", "x \n y", "a\nb c\nd, e.\n\nf g", "don't stop. it's a_b 3rd x²   z", "tab\tx y\t z", "<|endoftext|> a <|endoftext|>", "é,\nÉa (b) 'c' d'", "a\r\nb c\r\n", "\n", "w\n\nx y"]
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [w.tolist() for w in words(texts)] == expected
+    assert [w.tolist() for w in words(texts[::-1])] == expected[::-1]  # known by now
+    assert words([]) == []
+
+
+def test_cached_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 5000)
+    words, texts = packing._Words(Tokenizer.from_file(packing.vocabulary())), _texts(5, 200)
+    for at in range(0, 200, 10):
+        found = words(texts[at:at + 10])
+        assert [w.tolist() for w in found] == [e.ids for e in words.tokenizer.encode_batch(texts[at:at + 10], add_special_tokens=False)]
+        assert words.bytes < 5000 + 10 * 90 * 300
 
 
 def test_fullest_is_the_best_subset():
@@ -380,7 +396,7 @@ def test_surrogates_keep_type_format_and_identity(spark, empty):
             'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"\nMrs Anna Smith and Mr Smith; version 1.2.3 and 45250. GB82 WEST 1234 5698 7654 32')
     rows = [(1, text), (2, text), (2, "clean text, nothing private 12345"), (None, "a@b.org"), (3, None), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit("mine"))
-    out = pii.replace(df, counts="found").collect()
+    out = pii.replace(df, b"k", counts="found").collect()
     got = [r for r in out if r["doc_id"] in (1, 2) and r["text"] != rows[2][1]]
     assert got[0]["text"] == got[1]["text"] and sum(r["text"] == rows[2][1] for r in out) == 1
     assert {r["kind"] for r in out} == {"mine"} and [r["text"] for r in out if r["doc_id"] in (3, 4)] == [None, ""]
@@ -393,7 +409,7 @@ def test_surrogates_keep_type_format_and_identity(spark, empty):
     assert [k for _, _, k, _ in found] == [k for _, _, k, _ in pii.entities(text)]
     names = [v for _, _, k, v in found if k == "surname"]
     assert names[0] == names[1] and len({v for _, _, k, v in found if k == "email"}) == 1
-    assert got[0]["found"]["card"] == 1 and pii.replace(empty).count() == 0
+    assert got[0]["found"]["card"] == 1 and pii.replace(empty, b"k").count() == 0
 
 
 @pytest.mark.parametrize("text, kind, shown", [
@@ -465,6 +481,43 @@ def test_mix_meets_targets(spark, docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, "a b c " * (i % 5 + 1), "s", i, float(i), True, "x", i * 10) for i in range(20)]
+    names = "doc_id long, text string, source string, size int, _q double, _whole boolean, copies string, `mix_size` long"
+    out = mixing.mix(spark.createDataFrame(rows, names), out_prefix="mix_")
+    assert out.columns == ["doc_id", "text", "source", "size", "_q", "_whole", "copies", "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
+    assert sorted(tuple(r)[:7] for r in out.collect()) == [r[:7] for r in rows]
+    assert {r["mix_size"] for r in out.collect()} == {3, 6, 9, 12, 15}
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = [(i, "same text in all of these rows here", i * 7, "c") for i in range(3)] + [(9, "another one", 5, "d")]
+    out = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _row int, component_id string"))
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[3]]
+
+
+def test_initials_stay_apart():
+    for kind in ("given_m", "surname"):
+        for letters in pii.ALPHABETS:
+            shown = [pii.surrogate(b"k", kind, c) for c in letters]
+            assert sorted(shown) == sorted(letters) and not [c for c, s in zip(letters, shown) if c == s]
+    assert pii.initials(b"k", "surname") != pii.initials(b"l", "surname")
+    text = "Dr. E. Smith, Dr. I. Smith, Dr. R. Smith, Dr. S. Smith and Dr. W. Smith"
+    assert len(set(re.findall(r"Dr\. (\w)\.", pii.replaced(text, b"k", {})[0]))) == 5
+
+
+def test_top_k_of_repeated_ids_equals_its_sql(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 60 if i % 3 else 50, [float(v) for v in rng.integers(-3, 4, 6)]) for i in range(150)]
+    rows += [rows[0], rows[0], (None, [1.0] * 6), (100, None), (150, [float("nan")] * 6), (200, [])]
+    held = pd.DataFrame({"vec_id": pd.array([r[0] for r in rows], "Int64"), "embedding": [r[1] for r in rows]})
+    con = duckdb.connect()
+    con.register("held", held)
+    con.execute("CREATE TABLE embeddings AS SELECT vec_id, embedding::DOUBLE[] AS embedding FROM held")
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0, candidates=40, query_block=4)
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(topk.OP4_SQL).fetchall())
+
+
 def test_mix_counts_equal_rows(spark):
     rows = [(1, "a b c", "en", "s", 1)] * 50 + [(2, "a b c d e f", "en", "t", 1)] * 10
     out = mixing.mix(spark.createDataFrame(rows, SCHEMA))

@@ -142,7 +142,7 @@ def test_fingerprints_and_components_match_brute_force(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
-@pytest.mark.parametrize("distance, hot", [(0, 4), (1, 4), (2, 4), (2, 1000), (3, 3), (3, 1000)])
+@pytest.mark.parametrize("distance, hot", [(0, 4), (1, 4), (2, 4), (2, 1000)])
 def test_links_connect_all_near_fingerprints_and_no_others(spark, distance, hot):
     """Families around centres, so that some chains' buckets exceed ``hot``."""
     rng = np.random.default_rng(distance)
