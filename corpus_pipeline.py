@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlab.llm import minhash, mixing, packing, pii, toxicity
-from reviewlab.llm.common import documents, stored
+from reviewlab.llm.common import documents, free_name, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5, by a model fitted to the labels of
     the documents at hand."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    score = free_name(docs.columns, "_toxicity")
+    return toxicity.score(docs, model, out=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +26,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data and secrets."""
-    return pii.replace(docs).select(*docs.columns)
+    return pii.replace(docs, pii.EXAMPLE_KEY).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs, out_prefix="_mix_")
-    copies = F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))
-    return mixed.filter("_mix_copies > 0").select(*docs.columns, copies.alias("_mix_copy")).select(*docs.columns)
+    prefix = "_mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    mixed = mixing.mix(docs, out_prefix=prefix).filter(F.col(f"{prefix}copies") > 0)
+    copies = F.explode(F.sequence(F.lit(1), F.col(f"{prefix}copies"))).alias(f"{prefix}copy")
+    return mixed.select(*docs.columns, copies).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
