@@ -24,7 +24,6 @@ HTML_TAG_RE = r"<[^>]+>"
 URL_RE = r"(https?://\S+|www\.\S+)"
 EMAIL_RE = r"\b[\w\.-]+@[\w\.-]+\.\w+\b"
 PHONE_RE = r"\b(\+?\d[\d\-\s]{6,}\d)\b"
-WHITESPACE_RE = r"\s+"
 STRONG_EXCL_RE = r"!{3,}"
 STRONG_QUEST_RE = r"\?{3,}"
 MULTI_PUNCT_RE = r"([!?.,])\1{2,}"
@@ -100,7 +99,6 @@ SOURCE_TOKEN_OPEN = "[SRC_"
 NULL_SOURCE_TEXT = "nan"        # str(NaN) in the original
 UNKNOWN_SOURCE = "Не указан"    # shown for missing/blank sources in reports
 LABELS = (0, 1, 2)
-LABEL_NAMES = {0: "negative", 1: "neutral", 2: "positive"}
 
 # --- fixed values: job parameters -------------------------------------------
 SEED = 42
@@ -121,6 +119,25 @@ ENSEMBLE_FOLDS = 5
 EARLY_STOP_PATIENCE = 2
 SCORING_BATCH_SIZE = 32
 
+# --- fixed values: baselines -------------------------------------------------
+SVC_C = 0.1
+SVC_MAX_ITER = 3000
+SVC_NGRAM, SVC_MAX_FEATURES = (3, 4), 20_000
+TREES_NGRAM, TREES_MAX_FEATURES = (3, 5), 30_000
+SVD_COMPONENTS = 200
+TREES_ROUNDS, TREES_DEPTH, TREES_RATE = 200, 6, 0.1
+BASELINE_MIN_DF, BASELINE_MAX_DF = 2, 0.95
+
+# --- fixed values: search space of the logistic regression ----------------------
+SEARCH_ANALYZERS = ("word", "char")
+SEARCH_NGRAMS = {"word": ((1, 1), (1, 2), (1, 3)), "char": ((3, 5), (3, 6), (3, 7))}
+SEARCH_MAX_FEATURES = (30_000, 50_000, 80_000, 120_000)
+SEARCH_MIN_DF = (2, 5, 10)
+SEARCH_MAX_DF = (0.9, 0.95, 1.0)
+SEARCH_C_EXPONENTS = (-3, 2)
+SEARCH_MAX_ITER = 1000
+SEARCH_TRIALS = 5
+
 
 # Emoji of Unicode 14 and 15, as ranges of a character class.
 NEW_EMOJI = (r"\x{1F6DC}-\x{1F6DF}\x{1F7F0}\x{1F979}\x{1F9CC}\x{1FA75}-\x{1FA77}\x{1FA7B}-\x{1FA7C}"

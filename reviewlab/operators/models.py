@@ -9,11 +9,11 @@ arrays), reweighted by the smooth IDF ``ln((1+n)/(1+df)) + 1``: MLlib's
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from reviewlab import constants as K
+from reviewlab.operators import baselines, boosting, linear
 from reviewlab.operators import ensemble as E
 from reviewlab.operators import features as FT
 from reviewlab.operators import metrics as M
@@ -31,24 +32,10 @@ from reviewlab.operators.profile import class_weights
 from reviewlab.session import cut_lineage
 
 
-@dataclass
-class TextFeatures:
-    analyzer: str = "char"          # "char" or "word"
-    ngram: tuple[int, int] = (3, 5)
-    min_df: int | float = 2
-    max_df: float = 0.95
-    max_features: int = 20000
-    sublinear_tf: bool = False      # 1 + ln(tf)
-    norm: str | None = "l2"
-    use_idf: bool = True
+TextFeatures = FT.TextFeatures
 
-    def terms(self, text="text"):
-        lo, hi = self.ngram
-        return (FT.char_ngrams(text, lo, hi) if self.analyzer == "char"
-                else FT.word_ngrams(text, lo, hi))
 
-
-@dataclass
+@dataclass(frozen=True)
 class LogRegParams:
     C: float = 1.0
     penalty: str = "l2"             # l2, l1, elasticnet
@@ -56,7 +43,7 @@ class LogRegParams:
     class_weight: str | None = "balanced"
     max_iter: int = 100
     fit_intercept: bool = True
-    features: TextFeatures = field(default_factory=TextFeatures)
+    features: TextFeatures = TextFeatures()
 
 
 def _with_terms(df: DataFrame, tf: TextFeatures, text: str = "text") -> DataFrame:
@@ -120,57 +107,44 @@ def train_logreg(train: DataFrame, p: LogRegParams = LogRegParams(), label: str
 
 
 # C2 ------------------------------------------------------------------------
-def train_svm(train: DataFrame, C: float = 0.1, tf: TextFeatures = TextFeatures(),
-              label: str = "label", max_iter: int = 100) -> PipelineModel:
-    """One-vs-rest linear SVM (hinge loss; the original used squared hinge)."""
-    d = cut_lineage(_with_terms(train, tf))
-    vec = fit_vectorizer(d, tf)
-    d = cut_lineage(vec.transform(d).select("features", label))
-    n = d.count()
-    svc = LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / (C * n),
-                    standardization=False, maxIter=max_iter)
-    return PipelineModel(stages=[*vec.stages, OneVsRest(classifier=svc, labelCol=label).fit(d)])
-
-
-# C3 / F7 -------------------------------------------------------------------
-def train_trees(train: DataFrame, k: int = 200, depth: int = 6, rounds: int = 200,
-                tf: TextFeatures = TextFeatures(), label: str = "label"):
-    """Truncated SVD of the TF-IDF rows, then one-vs-rest boosted trees.
-    Returns (vectorizer, V, tree model, features); score with ``score_trees``."""
-    from pyspark.ml.functions import array_to_vector
-    d = cut_lineage(_with_terms(train, tf))
-    vec = fit_vectorizer(d, tf)
-    x = cut_lineage(vec.transform(d).select("ID", label, "features"))
-    V, _ = FT.truncated_svd(x, min(k, len(vec.stages[0].vocabulary)))
-    z = FT.project(x.select("ID", label, "features"), V).withColumn("svd", array_to_vector("svd"))
-    gbt = GBTClassifier(featuresCol="svd", labelCol=label, maxDepth=depth, maxIter=rounds)
-    return vec, V, OneVsRest(classifier=gbt, labelCol=label, featuresCol="svd").fit(z), tf
-
-
-def score_trees(df: DataFrame, model, text: str = "text") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-    vec, V, ovr, tf = model
-    x = vec.transform(_with_terms(df, tf, text)).select("ID", "features")
-    z = FT.project(x, V).withColumn("svd", array_to_vector("svd"))
-    return ovr.transform(z).select("ID", F.col("prediction").cast("int").alias("label"))
+def train_svm(train: DataFrame, C: float = K.SVC_C, tf: TextFeatures = baselines.SVC_FEATURES, label: str = "label",
+              max_iter: int = K.SVC_MAX_ITER, tol: float = 1e-4) -> PipelineModel:
+    """One-against-the-rest linear SVM with squared hinge loss, by L-BFGS on
+    summed sparse gradients."""
+    table = baselines.term_table(train.withColumnRenamed(label, "label"), [baselines.Spec(tf)])
+    setting = table.setting(0, loss="squared_hinge", C=C, max_iter=max_iter, tol=tol)
+    return table.pipeline(0, setting, linear.fit(table.rows, [setting])[0])
+
+
+# C3 ------------------------------------------------------------------------
+def train_trees(train: DataFrame, k: int = K.SVD_COMPONENTS, params: boosting.Params = boosting.Params(),
+                tf: TextFeatures = baselines.TREES_FEATURES, label: str = "label") -> baselines.TreesModel:
+    """Truncated SVD of the term counts, then boosted trees of all classes."""
+    table = baselines.term_table(train.withColumnRenamed(label, "label"), [baselines.Spec(tf)])
+    return baselines.fit_trees(table, 0, k, params)
+
+
+def score_trees(df: DataFrame, model: baselines.TreesModel, text: str = "text") -> DataFrame:
+    return model.predict(df, text).select("ID", "label")
 
 
 # C4 ------------------------------------------------------------------------
 def random_params(rng: np.random.RandomState) -> LogRegParams:
-    """A draw from the original's search space."""
+    """A draw from the search space. A solver is drawn first: one of the two
+    knows l2 only, so that l2 comes up in two draws of three."""
     def one(*of):
         return of[rng.randint(len(of))]
-    analyzer = one("word", "char")
-    tf = TextFeatures(analyzer, one((1, 1), (1, 2), (1, 3)) if analyzer == "word" else one((3, 5), (3, 6), (3, 7)),
-                      max_features=one(30_000, 50_000, 80_000, 120_000), min_df=one(2, 5, 10), max_df=one(0.9, 0.95, 1.0),
-                      sublinear_tf=one(True, False), norm=one("l2", None), use_idf=one(True, False))
-    penalty = "l2" if one("lbfgs", "saga") == "lbfgs" else one("l1", "l2", "elasticnet")
-    return LogRegParams(C=float(10 ** rng.uniform(-3, 2)), penalty=penalty,
+    analyzer = one(*K.SEARCH_ANALYZERS)
+    tf = TextFeatures(analyzer, one(*K.SEARCH_NGRAMS[analyzer]), max_features=one(*K.SEARCH_MAX_FEATURES),
+                      min_df=one(*K.SEARCH_MIN_DF), max_df=one(*K.SEARCH_MAX_DF), sublinear_tf=one(True, False),
+                      norm=one("l2", None), use_idf=one(True, False))
+    penalty = rng.choice(["l1", "l2", "elasticnet"], p=[1 / 6, 2 / 3, 1 / 6])
+    return LogRegParams(C=float(10 ** rng.uniform(*K.SEARCH_C_EXPONENTS)), penalty=str(penalty),
                         l1_ratio=float(rng.uniform()) if penalty == "elasticnet" else 0.5,
-                        class_weight=one(None, "balanced"), max_iter=1000, fit_intercept=one(True, False), features=tf)
+                        class_weight=one(None, "balanced"), max_iter=K.SEARCH_MAX_ITER, fit_intercept=one(True, False), features=tf)
 
 
-def random_search(train: DataFrame, val: DataFrame, n_trials: int = 5, seed: int = K.SEED,
+def random_search(train: DataFrame, val: DataFrame, n_trials: int = K.SEARCH_TRIALS, seed: int = K.SEED,
                   sample: float = K.SEARCH_SAMPLE_FRACTION, label: str = "label"):
     """Seeded random search over the logistic-regression space, scored by
     present-label macro-F1 on ``val``; the best draw is refitted on the
@@ -204,13 +178,23 @@ def predict(df: DataFrame, model: PipelineModel, tf: TextFeatures = TextFeatures
     """``key, label, p`` (probabilities as ``array<double>``)."""
     out = model.transform(_with_terms(df, tf, text))
     cols = [F.col(key), F.col("prediction").cast("int").alias("label")]
-    if "probability" in out.columns:
+    if "p" in out.columns:
+        cols.append(F.col("p"))
+    elif "probability" in out.columns:
         cols.append(vector_to_array("probability").alias("p"))
     else:
         cols.append(E.one_hot(F.col("prediction").cast("int"), 3).alias("p"))
     return out.select(*cols)
 
 
+def scorer(model: PipelineModel, tf: TextFeatures = TextFeatures(), text: str = "text"):
+    """A function that adds ``label`` to a table, for streams too."""
+    def score(df: DataFrame) -> DataFrame:
+        out = model.transform(_with_terms(df, tf, text))
+        return out.select(*df.columns, F.col("prediction").cast("int").alias("label"))
+    return score
+
+
 # C7 ------------------------------------------------------------------------
 def batch_score(df: DataFrame, make_predict_fn, text: str = "text", key: str = "ID",
                 batch_size: int = K.SCORING_BATCH_SIZE, num_labels: int = 3) -> DataFrame:
@@ -224,12 +208,16 @@ def batch_score(df: DataFrame, make_predict_fn, text: str = "text", key: str = "
     return s.select(key, E.argmax_label("p").alias("label"), "p")
 
 
+def letter_weights(seed: int = K.SEED, num_labels: int = 3) -> np.ndarray:
+    return np.random.RandomState(seed).normal(size=(27 + 256, num_labels))
+
+
 def letter_model_factory(seed: int = K.SEED, num_labels: int = 3):
     """A tiny NumPy model for tests and demos: frequencies of all letters,
     a-z each and others by code point in 256 places, and a fixed random
     linear layer, softmax output."""
     def make():
-        w = np.random.RandomState(seed).normal(size=(27 + 256, num_labels))
+        w = letter_weights(seed, num_labels)
 
         def fn(texts):
             x = np.zeros((len(texts), len(w)))

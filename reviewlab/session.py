@@ -71,3 +71,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint to the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the shared folder and read again: cuts the
+    lineage and keeps column pruning; survives executor loss."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,12 +3,12 @@
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.ml.linalg import DenseMatrix, Vectors
+from pyspark.ml.linalg import Vectors
 
 from reviewlab import session
 from reviewlab.functions import text as TX
 from reviewlab.operators import features as FT
-from reviewlab.operators import frames
+from reviewlab.operators import frames, sparse
 from reviewlab.session import scratch_path
 from reviewlab.sources import io
 
@@ -48,8 +48,8 @@ def test_new_emoji_stay(spark):
 def test_projection_of_sparse_rows(spark):
     rows = [(1, Vectors.sparse(4, [0, 3], [1.0, 2.0])), (2, Vectors.sparse(4, [], [])), (3, Vectors.dense([0, 1, 0, 0]))]
     m = np.arange(8.0).reshape(4, 2)
-    got = {r["ID"]: r["svd"] for r in FT.project(spark.createDataFrame(rows, ["ID", "features"]), DenseMatrix(4, 2, m.T.ravel().tolist())).collect()}
-    assert got == {1: [12.0, 15.0], 2: [0.0, 0.0], 3: [2.0, 3.0]}
+    table = sparse.compact(spark.createDataFrame(rows, ["ID", "features"]), "ID")
+    assert {r["ID"]: r["svd"] for r in FT.project(table, m).collect()} == {1: [12.0, 15.0], 2: [0.0, 0.0], 3: [2.0, 3.0]}
 
 
 def test_last_source_wins(spark):
