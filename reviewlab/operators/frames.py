@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,14 +78,15 @@ def filter_source(df: DataFrame, sources: Iterable[str], src: str = "src") -> Da
 
 def filter_keyword(df: DataFrame, words: Iterable[str], text: str = "text",
                    mode: str = "any") -> DataFrame:
-    """Whole-word, case-insensitive keyword filter (``any``/``all``)."""
-    conds = [F.col(text).rlike(r"(?iU)\b" + _quote(w) + r"\b") for w in words]
+    """Case-insensitive keyword filter. ``any`` / ``all``: some / every
+    keyword stands as a whole word; ``contains``: some keyword occurs anywhere."""
+    if mode not in ("any", "all", "contains"):
+        raise ValueError("mode must be 'any', 'all' or 'contains'")
+    edge = "" if mode == "contains" else r"\b"
+    conds = [F.col(text).rlike("(?iU)" + edge + _quote(w) + edge) for w in words]
     if not conds:
         return df
-    cond = conds[0]
-    for c in conds[1:]:
-        cond = (cond | c) if mode == "any" else (cond & c)
-    return df.filter(cond)
+    return df.filter(reduce(and_ if mode == "all" else or_, conds))
 
 
 def _quote(w: str) -> str:
@@ -139,12 +142,19 @@ def dedup_exact(df: DataFrame, cols=("text", "label"), key: str = "ID") -> DataF
 
 
 # J2 ------------------------------------------------------------------------
-def last_by_id(df: DataFrame, key: str = "ID", order: str = "seq") -> DataFrame:
-    """The last occurrence (largest ``order``) of every key wins; a partial
+def place_of(df: DataFrame, order: str | None) -> Column:
+    """What tells which of two rows came later: ``order``; or ``pos``, the place
+    in the files (``io.with_position``); or, without both, the order in which
+    the table is read, which only holds for one file read in one piece."""
+    return F.col(order) if order else F.col("pos") if "pos" in df.columns else F.monotonically_increasing_id()
+
+
+def last_by_id(df: DataFrame, key: str = "ID", order: str | None = None) -> DataFrame:
+    """The last occurrence (by ``place_of``) of every key wins; a partial
     aggregation, so hot keys are combined map-side."""
     others = [c for c in df.columns if c not in (key,)]
-    return (df.groupBy(key)
-            .agg(F.max_by(F.struct(*[F.col(c) for c in others]), F.col(order)).alias("__row"))
+    return (df.withColumn("__at", place_of(df, order)).groupBy(key)
+            .agg(F.max_by(F.struct(*[F.col(c) for c in others]), F.col("__at")).alias("__row"))
             .select(key, "__row.*"))
 
 
@@ -161,10 +171,9 @@ def join_truth(pred: DataFrame, truth: DataFrame, key: str = "ID",
 def join_source(pred: DataFrame, reviews: DataFrame, key: str = "ID", src: str = "src",
                 default: str = K.UNKNOWN_SOURCE, order: str | None = None) -> DataFrame:
     """Left join predictions to the reviews' source; misses and blank
-    sources read ``default``. Of several reviews with one key the last wins,
-    by ``order`` or, without it, by their place in the table as it is read."""
-    place = F.col(order) if order else F.monotonically_increasing_id()
-    r = reviews.select(F.col(key), default_source(src, default).alias("__src"), place.alias("__at"))
+    sources read ``default``. Of several reviews with one key the last
+    wins (``place_of``)."""
+    r = reviews.select(F.col(key), default_source(src, default).alias("__src"), place_of(reviews, order).alias("__at"))
     r = r.groupBy(key).agg(F.max_by("__src", "__at").alias("__src"))
     return (pred.join(r, key, "left")
             .withColumn(src, F.coalesce(F.col("__src"), F.lit(default))).drop("__src"))

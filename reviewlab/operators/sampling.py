@@ -2,8 +2,9 @@
 
 Randomness is a pure function of ``(seed, key)`` through ``md5``, so every
 result is stable under repartitioning and task retries and can be checked
-against SQL. Group-wise ranks come from ``ranking.rank_within``, which
-splits hot groups into hash buckets.
+against SQL. Caps, samples and splits compare each row with its group's cut
+(``ranking.cut_points``); ranks, where a result shows them, come from
+``ranking.rank_within``, which splits hot groups into hash buckets.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from reviewlab import constants as K
 from reviewlab.functions.arrays import let
-from reviewlab.operators.ranking import rank_within, seeded_hash, unit_float
+from reviewlab.operators.ranking import rank_within, seeded_hash, unit_float, with_cut
+from reviewlab.session import stored
 
 
 def _with_hash(df: DataFrame, seed, key: str, salt: str = "") -> DataFrame:
@@ -27,8 +29,16 @@ def cap_per_group(df: DataFrame, group: str, n: int, seed=K.SEED, key: str = "ID
     groups are dropped like a pandas ``groupby`` unless ``keep_null``."""
     if not keep_null:
         df = df.filter(F.col(group).isNotNull())
-    d = rank_within(_with_hash(df, seed, key), [group], "__h", key, "__r", quota=F.lit(n))
-    return d.filter(F.col("__r") <= n).drop("__h", "__r")
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    most = counts.agg(F.max("__n")).first()[0] or 0
+    if most <= n:
+        return df
+    quotas = counts.filter(F.col("__n") > n).select(group, F.lit(n).alias("__quota"))
+    return _first(with_cut(_with_hash(df, seed, key), [group], quotas, "__h", key, absent=True, most=most))
+
+
+def _first(df: DataFrame) -> DataFrame:
+    return df.filter("__first").drop("__h", "__first", "__last")
 
 
 # S2 ------------------------------------------------------------------------
@@ -43,10 +53,9 @@ def cap_total_stratified(df: DataFrame, label: str, max_total: int | None, seed=
                          key: str = "ID") -> DataFrame:
     if max_total is None:
         return df
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__cnt"))
-    d = df.join(stratified_quota(counts, label, max_total).select(label, "__quota"), label)
-    d = rank_within(_with_hash(d, seed, key), [label], "__h", key, "__r", quota=F.col("__quota"))
-    return d.filter(F.col("__r") <= F.col("__quota")).drop("__h", "__r", "__quota")
+    counts = stored(df.groupBy(label).agg(F.count(F.lit(1)).alias("__cnt")), "label-counts")
+    quotas = stratified_quota(counts, label, max_total).select(label, "__quota")
+    return _first(with_cut(_with_hash(df, seed, key), [label], quotas, "__h", key))
 
 
 # S3 ------------------------------------------------------------------------
@@ -55,7 +64,7 @@ def split_quotas(df: DataFrame, label: str, test_size: float) -> DataFrame:
     ceil(test_size * N)``; train counts are floor(n_train * share) plus one
     for the largest remainders (ties to the smaller label); test = rest.
     The window runs over the per-label count table only."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__cnt"))
+    counts = stored(df.groupBy(label).agg(F.count(F.lit(1)).alias("__cnt")), "label-counts")
     n = counts.agg(F.sum("__cnt")).scalar()
     n_train = n - F.ceil(n * F.lit(test_size))
     exact = F.col("__cnt") * n_train / n
@@ -67,10 +76,16 @@ def split_quotas(df: DataFrame, label: str, test_size: float) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str = "label", test_size: float = K.VAL_SIZE,
-                     seed=K.SEED, key: str = "ID", out: str = "split") -> DataFrame:
-    """Adds ``out`` in {train, val} and ``rank`` (1-based, per label, by
-    seeded hash); the first ``test`` ranks of each label go to val."""
-    d = df.join(F.broadcast(split_quotas(df, label, test_size).select(label, "__test")), label)
+                     seed=K.SEED, key: str = "ID", out: str = "split", rank: bool = True) -> DataFrame:
+    """Adds ``out`` in {train, val}: the first ``test`` rows of each label by
+    seeded hash go to val. ``rank`` adds each row's 1-based place within its
+    label and part, which takes a ranking of all rows; without it rows are
+    only compared with their label's cut."""
+    quotas = split_quotas(df, label, test_size).select(label, F.col("__test").alias("__quota"))
+    if not rank:
+        d = with_cut(_with_hash(df, seed, key), [label], quotas, "__h", key)
+        return d.withColumn(out, F.when(F.col("__first"), "val").otherwise("train")).drop("__h", "__first", "__last")
+    d = df.join(F.broadcast(quotas.withColumnRenamed("__quota", "__test")), label)  # one row per class
     d = rank_within(_with_hash(d, seed, key), [label], "__h", key, "__r")
     return (d.withColumn(out, F.when(F.col("__r") <= F.col("__test"), "val").otherwise("train"))
             .withColumn("rank", F.col("__r") - F.when(F.col(out) == "train", F.col("__test")).otherwise(0))
@@ -90,8 +105,8 @@ def sample_fraction(df: DataFrame, fraction: float, seed=K.SEED, key: str = "ID"
 
 def sample_n(df: DataFrame, n: int, seed=K.SEED, key: str = "ID") -> DataFrame:
     """Exactly ``min(n, count)`` rows with the smallest seeded hash."""
-    d = rank_within(_with_hash(df, seed, key), [], "__h", key, "__r", quota=F.lit(n))
-    return d.filter(F.col("__r") <= n).drop("__h", "__r")
+    quotas = df.sparkSession.range(1).select(F.lit(n).alias("__quota"))
+    return _first(with_cut(_with_hash(df, seed, key), [], quotas, "__h", key))
 
 
 def shuffle_rows(df: DataFrame, seed=K.SEED, key: str = "ID", out: str = "ord") -> DataFrame:
@@ -152,21 +167,21 @@ def augment_text(text: Column, key: Column, copy: Column, seed=K.SEED) -> Column
 
 # A4 ------------------------------------------------------------------------
 def balance_by_augmentation(train: DataFrame, label: str = "label", text: str = "text",
-                            key: str = "ID", max_per_row: int = K.MAX_AUG_PER_SAMPLE,
-                            seed=K.SEED, rank: str | None = None) -> DataFrame:
-    """A4: for every class below the largest, add augmented copies of its
-    rows in rank order, up to ``max_per_row`` per row, until the deficit is
-    met (or rows run out). Returns only the new rows, with ``aug`` = copy
-    number. ``rank`` is the per-class order; computed if not given."""
-    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("__cnt"))
+                            key: str = "ID", max_per_row: int = K.MAX_AUG_PER_SAMPLE, seed=K.SEED) -> DataFrame:
+    """A4: for every class below the largest, add augmented copies of its rows
+    in the order of the seeded hash until the deficit is met or rows run out.
+    A row gets deficit div rows copies, at least one and at most
+    ``max_per_row``; the last row that is reached gets what is still
+    missing. Returns only the new rows, with ``aug`` = copy number."""
+    counts = stored(train.groupBy(label).agg(F.count(F.lit(1)).alias("__cnt")), "label-counts")
     top = counts.agg(F.max("__cnt")).scalar()
-    deficits = counts.select(label, (top - F.col("__cnt")).alias("__def")).filter(F.col("__def") > 0)
-    d = train.join(F.broadcast(deficits), label)  # one row per class
-    if rank is None:
-        d = rank_within(_with_hash(d, seed, key), [label], "__h", key, "__rk").drop("__h")
-        rank = "__rk"
-    d = (d.filter((F.col(rank) - 1) * max_per_row < F.col("__def"))
-         .withColumn("aug", F.explode(F.sequence(F.lit(1), F.lit(max_per_row))))
-         .filter((F.col(rank) - 1) * max_per_row + F.col("aug") <= F.col("__def")))
+    missing = counts.withColumn("__def", top - F.col("__cnt")).filter(F.col("__def") > 0)
+    per_row = F.least(F.lit(max_per_row), F.greatest(F.lit(1), F.floor(F.col("__def") / F.col("__cnt")))).cast("int")
+    plan = missing.withColumn("__per", per_row).withColumn("__quota", F.ceil(F.col("__def") / F.col("__per")))
+    plan = stored(plan.select(label, "__def", "__per", "__quota"), "augmentation")
+    d = with_cut(_with_hash(train, seed, key), [label], plan.select(label, "__quota"), "__h", key).filter("__first")
+    d = d.join(F.broadcast(plan), label)  # one row per class
+    copies = F.when(F.col("__last"), F.col("__def") - (F.col("__quota") - 1) * F.col("__per")).otherwise(F.col("__per"))
+    d = d.withColumn("aug", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
     return (d.withColumn(text, augment_text(F.col(text), F.col(key), F.col("aug"), seed))
-            .drop("__def", "__rk"))
+            .drop("__h", "__first", "__last", "__def", "__per", "__quota"))
