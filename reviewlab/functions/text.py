@@ -2,7 +2,8 @@
 
 Every function takes and returns a ``Column`` and is built only from
 built-in functions (``regexp_replace``, ``split``, higher-order ``filter``),
-so the whole chain runs inside whole-stage codegen with no Python worker.
+with no Python worker. Rules of several passes ask first, in one pass or by a
+search for a plain string, whether a text has anything for them.
 
 Regex dialect: Java's ``\\b \\w \\d \\s`` are ASCII unless ``(?U)`` is set,
 while the original rules ran on Python ``str`` patterns, which are Unicode.
@@ -12,6 +13,11 @@ case-insensitive ones with ``(?iU)``.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +33,10 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _where(c: Column, found: Column, then: Callable[[Column], Column]) -> Column:
+    return F.when(found, then(c)).otherwise(c)
+
+
 # T1 ------------------------------------------------------------------------
 def strip_nonprintable(c) -> Column:
     """Delete characters Python's ``str.isprintable`` rejects: categories
@@ -37,16 +47,19 @@ def strip_nonprintable(c) -> Column:
 
 # T2 ------------------------------------------------------------------------
 def strip_html(c) -> Column:
-    return F.regexp_replace(_c(c), K.HTML_TAG_RE, " ")
+    c = _c(c)
+    return _where(c, F.contains(c, F.lit("<")), lambda x: F.regexp_replace(x, K.HTML_TAG_RE, " "))
 
 
 # T3-T5 ---------------------------------------------------------------------
 def mask_url(c) -> Column:
-    return F.regexp_replace(_c(c), "(?U)" + K.URL_RE, K.URL_TOKEN)
+    c = _c(c)
+    return _where(c, F.contains(c, F.lit("http")) | F.contains(c, F.lit("www.")), lambda x: F.regexp_replace(x, "(?U)" + K.URL_RE, K.URL_TOKEN))
 
 
 def mask_email(c) -> Column:
-    return F.regexp_replace(_c(c), "(?U)" + K.EMAIL_RE, K.EMAIL_TOKEN)
+    c = _c(c)
+    return _where(c, F.contains(c, F.lit("@")), lambda x: F.regexp_replace(x, "(?U)" + K.EMAIL_RE, K.EMAIL_TOKEN))
 
 
 def mask_phone(c) -> Column:
@@ -55,20 +68,34 @@ def mask_phone(c) -> Column:
 
 # T6 ------------------------------------------------------------------------
 def mark_emoji(c) -> Column:
-    out = _c(c)
-    for pattern, token in K.EMOJI_CLASSES:
-        out = F.regexp_replace(out, pattern, token)
-    return out
+    def marked(out: Column) -> Column:
+        for pattern, token in K.EMOJI_CLASSES:
+            out = F.regexp_replace(out, pattern, token)
+        return out
+    c = _c(c)
+    return _where(c, c.rlike("|".join(p for p, _ in K.EMOJI_CLASSES)), marked)
 
 
 # T7-T10 --------------------------------------------------------------------
+@lru_cache(maxsize=1)
+def _zeros() -> list[int]:
+    """The digit 0 of every script; 1 to 9 follow it."""
+    return [p for p in range(sys.maxunicode + 1) if unicodedata.decimal(chr(p), -1) == 0 and unicodedata.decimal(chr(p + 9), -1) == 9]
+
+
+def _digits(low: int, high: int) -> str:
+    """A class of the digits from ``low`` to ``high`` in all scripts."""
+    return "[" + "".join(f"\\x{{{z + low:X}}}-\\x{{{z + high:X}}}" for z in _zeros()) + "]"
+
+
 def _band_patterns(scale: int):
     """Digit patterns for each band of a rating on ``scale``. Five-point
     values are doubled before banding, so 0-2 is low, 3 mid, 4-9 high."""
     if scale == 10:
-        return [("0?[0-4]", K.LOW_SCORE), ("0?[56]", K.MID_SCORE),
-                ("0?[7-9]|[1-9][0-9]", K.HIGH_SCORE)]
-    return [("[0-2]", K.LOW_SCORE), ("3", K.MID_SCORE), ("[4-9]", K.HIGH_SCORE)]
+        zero = _digits(0, 0) + "?"
+        return [(zero + _digits(0, K.RATING_LOW_MAX), K.LOW_SCORE), (zero + _digits(K.RATING_LOW_MAX + 1, K.RATING_HIGH_MIN - 1), K.MID_SCORE),
+                (zero + _digits(K.RATING_HIGH_MIN, 9) + "|" + _digits(1, 9) + _digits(0, 9), K.HIGH_SCORE)]
+    return [(_digits(0, 2), K.LOW_SCORE), (_digits(3, 3), K.MID_SCORE), (_digits(4, 9), K.HIGH_SCORE)]
 
 
 def _mark_rating(c: Column, pattern: str, scale: int) -> Column:
@@ -77,30 +104,35 @@ def _mark_rating(c: Column, pattern: str, scale: int) -> Column:
     out = F.regexp_replace(c, "(?U)" + pattern, OPEN + "$1" + CLOSE + "$0")
     for digits, token in _band_patterns(scale):
         out = F.regexp_replace(out, OPEN + "(?:" + digits + ")" + CLOSE, token + " ")
-    # a non-ASCII digit has no band here: drop its sentinels, keep the text
+    # a digit that only the JVM knows has no band: drop its sentinels, keep the text
     return F.regexp_replace(out, OPEN + "[^" + CLOSE + "]*" + CLOSE, "")
 
 
+def _mark_ratings(c: Column, patterns: list[tuple[str, int]], scale: int) -> Column:
+    def marked(out: Column) -> Column:
+        for pattern, by in patterns:
+            out = _mark_rating(out, pattern, by)
+        return out
+    return _where(c, c.rlike(rf"(?U)\d\s*(?:из|/)\s*{scale}"), marked)
+
+
 def mark_rating10(c) -> Column:
-    out = _c(c)
-    for pattern, scale in K.RATING_10_RES:
-        out = _mark_rating(out, pattern, scale)
-    return out
+    return _mark_ratings(_c(c), K.RATING_10_RES, 10)
 
 
 def mark_rating5(c) -> Column:
-    out = _c(c)
-    for pattern, scale in K.RATING_5_RES:
-        out = _mark_rating(out, pattern, scale)
-    return out
+    return _mark_ratings(_c(c), K.RATING_5_RES, 5)
 
 
 def mark_stars(c) -> Column:
     """Runs of 2-5 stars; value = 2 x run length (2 low, 3 mid, 4-5 high)."""
-    out = F.regexp_replace(_c(c), K.STARS_RE, OPEN + "$0" + CLOSE)
-    for run, token in (("{2}", K.LOW_SCORE), ("{3}", K.MID_SCORE), ("{4,5}", K.HIGH_SCORE)):
-        out = F.regexp_replace(out, OPEN + "([★⭐]" + run + ")" + CLOSE, token + " $1")
-    return out
+    def marked(out: Column) -> Column:
+        out = F.regexp_replace(out, K.STARS_RE, OPEN + "$0" + CLOSE)
+        for run, token in (("{2}", K.LOW_SCORE), ("{3}", K.MID_SCORE), ("{4,5}", K.HIGH_SCORE)):
+            out = F.regexp_replace(out, OPEN + "([★⭐]" + run + ")" + CLOSE, token + " $1")
+        return out
+    c = _c(c)
+    return _where(c, c.rlike(K.STARS_RE), marked)
 
 
 def rating_band(v) -> Column:
@@ -129,10 +161,12 @@ def squeeze_letters(c) -> Column:
 
 # T15 -----------------------------------------------------------------------
 def mark_slang(c) -> Column:
-    out = _c(c)
-    for pattern, token in K.SLANG_CLASSES:
-        out = F.regexp_replace(out, "(?iU)" + pattern, token)
-    return out
+    def marked(out: Column) -> Column:
+        for pattern, token in K.SLANG_CLASSES:
+            out = F.regexp_replace(out, "(?iU)" + pattern, token)
+        return out
+    c = _c(c)
+    return _where(c, c.rlike("(?iU)" + "|".join(p for p, _ in K.SLANG_CLASSES)), marked)
 
 
 # T16 / T17 -----------------------------------------------------------------
@@ -182,17 +216,11 @@ def char_len(c) -> Column:
 PROFILES = ("train", "serve")
 
 
-def _stage_a(c: Column, profile: str) -> Column:
-    """Pure rewrites, each reads its input once."""
-    out = F.coalesce(c.cast("string"), F.lit(""))
-    for f in (strip_nonprintable, strip_html, mask_url, mask_email, mask_phone,
-              mark_emoji, mark_rating10):
-        out = f(out)
-    if profile == "train":
-        out = mark_stars(mark_rating5(out))
-    for f in (mark_exclaim, mark_question, squeeze_punct, squeeze_letters, mark_slang):
-        out = f(out)
-    return out
+def _steps(profile: str) -> list[Callable[[Column], Column]]:
+    """T1-T17 as steps; each is a projection of its own, as most read their input more than once."""
+    ratings = [mark_rating10, mark_rating5, mark_stars] if profile == "train" else [mark_rating10]
+    return [strip_html, mask_url, mask_email, mask_phone, mark_emoji, *ratings,
+            lambda c: squeeze_letters(squeeze_punct(mark_question(mark_exclaim(c)))), mark_slang, mark_caps, mark_english]
 
 
 def clean_text(df: DataFrame, col: str = "text", out: str | None = None,
@@ -200,10 +228,9 @@ def clean_text(df: DataFrame, col: str = "text", out: str | None = None,
     """The full cleaning chain in the original order.
 
     ``train`` applies T1-T18; ``serve`` leaves out the five-point ratings and
-    stars (T8, T9). T16/T17 read their input several times, so the chain is
-    materialised in three projections: Catalyst's CollapseProject will not
-    inline a non-trivial expression that is referenced more than once, so
-    the regex chain is evaluated once per row. The one-row ``explode`` at
+    stars (T8, T9). Each step is a projection: Catalyst's CollapseProject
+    will not inline a non-trivial expression that is referenced more than
+    once, so that every step is evaluated once per row. The one-row ``explode`` at
     the end keeps later filters on the cleaned text from being pushed below
     the chain, which would repeat it in the filter.
     """
@@ -211,14 +238,8 @@ def clean_text(df: DataFrame, col: str = "text", out: str | None = None,
         raise ValueError(f"profile must be one of {PROFILES}")
     out = out or col
     tmp = "__clean_tmp"
-    df = df.withColumn(tmp, _stage_a(F.col(col), profile))
-    df = df.withColumn(tmp, mark_caps(tmp))
-    df = df.withColumn(tmp, mark_english(tmp))
+    df = df.withColumn(tmp, strip_nonprintable(F.coalesce(F.col(col).cast("string"), F.lit(""))))
+    for step in _steps(profile):
+        df = df.withColumn(tmp, step(F.col(tmp)))
     df = df.withColumn(out, F.explode(F.array(squeeze_space(tmp))))
     return df.drop(tmp) if out != tmp else df
-
-
-def clean_text_col(c, profile: str = "train") -> Column:
-    """Column form of T19 for ad-hoc use (repeats the chain for T16/T17;
-    prefer ``clean_text`` on a DataFrame in jobs)."""
-    return squeeze_space(mark_english(mark_caps(_stage_a(_c(c), profile))))

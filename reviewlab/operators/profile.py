@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlab import constants as K
@@ -52,19 +54,25 @@ def length_profile(df: DataFrame, text: str = "text", by: str | None = None) ->
 
 
 # G4 / G5 -------------------------------------------------------------------
-def prep_report(raw: DataFrame, deduped: DataFrame, cleaned: DataFrame,
-                shortened: DataFrame, max_len: int, text: str = "text") -> DataFrame:
-    """Step counters of the training preparation as one row of scalar
-    subqueries (each one job over its input)."""
-    cnt = lambda d: d.agg(F.count(F.lit(1))).scalar()
-    long_ = lambda d: d.agg(F.count_if(F.length(text) > max_len)).scalar()
-    non_empty = cleaned.filter(F.length(text) > 0)
-    return raw.sparkSession.range(1).select(
-        cnt(raw).alias("rows_raw"),
-        (cnt(raw) - cnt(deduped)).alias("duplicates_removed"),
-        (cnt(cleaned) - cnt(non_empty)).alias("empty_removed"),
-        long_(non_empty).alias("long_before"),
-        long_(shortened).alias("long_after"))
+class StepCounters:
+    """Counters of the training preparation, collected while its rows go
+    through: ``watch`` marks a step, and after the rows were written once
+    ``report`` has the figures (G4)."""
+
+    def __init__(self, max_len: int, text: str = "text"):
+        self.max_len, self.text, self.seen = max_len, text, {}
+
+    def watch(self, df: DataFrame, step: str) -> DataFrame:
+        """``df``, with its rows, its empty texts and its long texts counted."""
+        size = F.length(self.text)
+        self.seen[step] = Observation(f"{step}-{uuid.uuid4().hex}")
+        return df.observe(self.seen[step], F.count(F.lit(1)).alias("rows"), F.count_if(size == 0).alias("empty"), F.count_if(size > self.max_len).alias("long"))
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """One row, from steps ``raw``, ``deduped``, ``cleaned`` and ``shortened``."""
+        raw, deduped, cleaned, shortened = (self.seen[s].get for s in ("raw", "deduped", "cleaned", "shortened"))
+        row = (raw["rows"], raw["rows"] - deduped["rows"], cleaned["empty"], cleaned["long"], shortened["long"])
+        return spark.createDataFrame([row], "rows_raw long, duplicates_removed long, empty_removed long, long_before long, long_after long")
 
 
 def retention(raw: DataFrame, final: DataFrame) -> DataFrame:
@@ -97,12 +105,12 @@ def class_distribution(pred: DataFrame, label: str = "label") -> DataFrame:
 
 # G7 ------------------------------------------------------------------------
 def source_distribution(pred: DataFrame, reviews: DataFrame, key: str = "ID",
-                        label: str = "label", src: str = "src") -> DataFrame:
+                        label: str = "label", src: str = "src", order: str | None = None) -> DataFrame:
     """Class x source counts, totals and one-decimal percents, sources by
     total descending. One shuffle for the join, one for the grouped
     conditional counts (a pivot with fixed values, partially aggregated)."""
     p = pred.select(key, F.col(label).cast("int").alias("label")).filter(F.col("label").isin(*K.LABELS))
-    j = join_source(p, reviews, key, src)
+    j = join_source(p, reviews, key, src, order=order)
     out = j.groupBy(src).agg(*[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in K.LABELS],
                              F.count(F.lit(1)).alias("total"))
     for x in K.LABELS:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from reviewlab import constants as K
 from reviewlab.operators import ensemble as E
 from reviewlab.operators import frames, metrics as M
+from reviewlab.plans import jobs
 from reviewlab.plans import oracle as O
 from reviewlab.plans.catalog import register
+from reviewlab.session import scratch_path
+from reviewlab.sources import io
 from reviewlab.sources import testviews as V
 
 L = K.LABELS
@@ -112,12 +115,18 @@ def _evaluate_sql():
 
 @register("evaluate", _evaluate_sql)
 def evaluate(spark, sf):
-    """Q4: truth from the labelled reviews, predictions keyed by ID (J2 last
-    wins, J3 inner join), then M3-M5."""
-    truth = frames.valid_labels(V.reviews(spark, sf).select("ID", "label"))
-    pred = V.preds(spark, sf).select("ID", F.col("y_pred").alias("label"), F.lit(0).alias("seq"))
-    pred = frames.last_by_id(pred, "ID", "seq").drop("seq")
-    return M.summary(frames.join_truth(pred, truth))
+    """Q4: predictions and truth as CSV files (IO3), in which every ID stands
+    twice, first with another label; the last one counts (J2), then J3, M3-M5."""
+    def uploaded(rows, name):
+        path = scratch_path(spark, name)
+        twice = rows.select("ID", ((F.col("label") + 1) % 3).alias("label"), F.lit(0).alias("at")).unionByName(rows.withColumn("at", F.lit(1)))
+        (twice.repartition(1).sortWithinPartitions("at", "ID").select(F.col("ID").alias(" id "), F.col("label").alias("'Label'"))
+         .write.option("header", True).csv(path))
+        return io.read_labels(spark, path, position=True)
+
+    truth = uploaded(frames.valid_labels(V.reviews(spark, sf).select("ID", "label")), "truth")
+    pred = uploaded(V.preds(spark, sf).select("ID", F.col("y_pred").alias("label")), "upload")
+    return jobs.evaluate(pred, truth)
 
 
 def _report_sql():
@@ -270,3 +279,11 @@ def early_stop(spark, sf):
     """M9 over a per-source history table derived from the predictions
     (epoch = ID % 8 + 1, val_f1 = present macro-F1 of that slice)."""
     return M.early_stop(_history(spark, sf), "run", "epoch", "val_f1")
+
+
+@register("error_texts", lambda: f"""SELECT e.y_true, e.y_pred, e.ID, e.rank, r.text FROM (SELECT *, CAST(row_number() OVER (PARTITION BY y_true, y_pred ORDER BY ID) AS INTEGER) AS rank
+FROM ({_preds_sql()}) WHERE y_true <> y_pred) e JOIN ({O.reviews_sql()}) r ON e.ID = r.ID WHERE e.rank <= 10""")
+def error_texts(spark, sf):
+    """M7 with texts: up to 10 wrongly classified reviews of each pair."""
+    found = M.error_examples(V.preds(spark, sf))
+    return found.join(V.reviews(spark, sf).select("ID", "text"), "ID").select("y_true", "y_pred", "ID", "rank", "text")

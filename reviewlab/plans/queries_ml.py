@@ -8,11 +8,13 @@ import json
 from pyspark.sql import functions as F
 
 from reviewlab import constants as K
-from reviewlab.operators import ensemble as E
-from reviewlab.operators import frames, metrics as M, models as ML
+from reviewlab.operators import baselines, frames, metrics as M, models as ML
+from reviewlab.operators import profile as G
 from reviewlab.plans import jobs
 from reviewlab.plans import oracle as O
 from reviewlab.plans.catalog import register
+from reviewlab.plans.queries_sampling import _training_sql
+from reviewlab.plans.queries_text import _prepare_inference_sql
 from reviewlab.session import cut_lineage, scratch_path
 from reviewlab.sources import io
 from reviewlab.sources import testviews as V
@@ -61,21 +63,49 @@ def train_logreg(spark, sf):
 
 @register("train_svm")
 def train_svm(spark, sf):
-    """One-vs-rest linear SVM on a 40 % sample of train."""
+    """One-against-the-rest linear SVM (squared hinge, raw counts of 3-4
+    characters) on a 40 % sample of train (S4)."""
     from reviewlab.operators.sampling import sample_fraction
     train, val = _train_val(spark, sf)
-    m = ML.train_svm(sample_fraction(train, K.SVC_SAMPLE_FRACTION), C=0.1, max_iter=1000)
-    return ML.predict(val, m).select("ID", "label")
+    m = ML.train_svm(sample_fraction(train, K.SVC_SAMPLE_FRACTION))
+    return ML.predict(val, m, baselines.SVC_FEATURES).select("ID", "label")
 
 
 @register("train_trees")
 def train_trees(spark, sf):
-    """F7 + C3: truncated SVD (up to 200 components) then one-vs-rest
-    boosted trees of depth 6 (20 rounds here: 200, the API default, take over
-    400 s at sf0.01 on one machine)."""
+    """F7 + C3 + C5: truncated SVD (up to 200 components) of raw counts, then
+    200 rounds of boosted trees of depth 6 over all classes, saved and loaded."""
     train, val = _train_val(spark, sf)
-    model = ML.train_trees(train, k=200, depth=6, rounds=20)
-    return ML.score_trees(val, model)
+    path = scratch_path(spark, "trees")
+    ML.train_trees(train).save(spark, path)
+    return ML.score_trees(val, baselines.TreesModel.load(spark, path))
+
+
+# Q7 ----------------------------------------------------------------------------
+@register("train_baselines")
+def train_baselines(spark, sf):
+    """Q7: the three baselines on one term table, with M6 of each."""
+    return jobs.train_baselines(*_train_val(spark, sf)).report()
+
+
+@register("train_baselines_errors")
+def train_baselines_errors(spark, sf):
+    """Q7 + M7: up to 10 wrongly classified texts of each baseline and pair."""
+    return jobs.train_baselines(*_train_val(spark, sf)).errors().select("model", "y_true", "y_pred", "rank", "ID", "text")
+
+
+def _support_sql():
+    val = f"SELECT label FROM ({_training_sql()}) WHERE split = 'val'"
+    models = "(SELECT unnest(['logreg', 'svm', 'trees']) AS model)"
+    return f"""WITH v AS ({val})
+SELECT model, CAST(label AS VARCHAR) AS row, count(*) AS support FROM v, {models} GROUP BY ALL
+UNION ALL SELECT model, row, count(*) AS support FROM v, {models}, (SELECT unnest(['accuracy', 'macro avg', 'weighted avg']) AS row) GROUP BY ALL"""
+
+
+@register("train_baselines_support", _support_sql)
+def train_baselines_support(spark, sf):
+    """Q7: how many validation rows each figure of the report rests on."""
+    return jobs.train_baselines(*_train_val(spark, sf)).report().filter("support > 0").select("model", "row", "support")
 
 
 @register("model_search")
@@ -99,14 +129,23 @@ def predict_table(spark, sf):
     written as a submission (IO6) and read back."""
     train, _ = _train_val(spark, sf)
     p = ML.LogRegParams(C=10.0, max_iter=1000)
-    m = ML.train_logreg(train, p)
-    test = jobs.prepare_inference(V.reviews(spark, sf).select("ID", "text", "src"))
-    path = scratch_path(spark, "submission")
-    io.write_submission(ML.predict(test, m, p.features), path)
-    return spark.read.option("header", True).schema("ID bigint, label int").csv(path)
+    return jobs.predict_table(V.reviews(spark, sf), ML.train_logreg(train, p), p.features, scratch_path(spark, "submission"))
+
 
+def _batch_score_sql():
+    """The letter model's weights as lists, and its sums over all letters."""
+    w = ML.letter_weights()
+    lists = ", ".join("[" + ", ".join(repr(float(x)) for x in w[:, k]) + f"]::DOUBLE[] AS w{k}" for k in range(3))
+    z = ", ".join(f"coalesce(list_sum(list_transform(places, lambda i: w{k}[i + 1])), 0) / greatest(len(places), 1) + w{k}[27] AS z{k}" for k in range(3))
+    place = "CASE WHEN unicode(c) BETWEEN 97 AND 122 THEN unicode(c) - 97 ELSE 27 + unicode(c) % 256 END"
+    return f"""WITH w AS (SELECT {lists}),
+d AS (SELECT ID, list_transform(regexp_extract_all(lower(text), '\\p{{L}}'), lambda c: {place}) AS places FROM ({_prepare_inference_sql()})),
+z AS (SELECT ID, {z} FROM d, w), e AS (SELECT ID, exp(z0) AS e0, exp(z1) AS e1, exp(z2) AS e2 FROM z)
+SELECT ID, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 0 WHEN e1 >= e2 THEN 1 ELSE 2 END AS label,
+  round(e0 / (e0 + e1 + e2), 6) AS p0, round(e1 / (e0 + e1 + e2), 6) AS p1, round(e2 / (e0 + e1 + e2), 6) AS p2 FROM e"""
 
-@register("batch_score")
+
+@register("batch_score", _batch_score_sql)
 def batch_score(spark, sf):
     """A user NumPy model through ``predict_batch_udf`` in batches of 32."""
     test = jobs.prepare_inference(V.reviews(spark, sf).select("ID", "text", "src"))
@@ -126,16 +165,12 @@ def compare_ensemble(spark, sf):
     spark.createDataFrame([(json.dumps({"bert_model_dir": "bert", "lr_model_path": "lr.model",
                                         "bert_weight": 0.35, "lr_weight": 0.65, "num_labels": 3}),)],
                           "value string").coalesce(1).write.text(cfg_path)
-    cfg = io.read_ensemble_config(spark, cfg_path).first()
-    ens = E.ensemble(nn.select("ID", "p"), lr.select("ID", "p"), cfg["bert_weight"], cfg["lr_weight"])
-    long = (lr.select(F.lit("logreg").alias("model"), "ID", "label")
-            .unionByName(nn.select(F.lit("letters").alias("model"), "ID", "label"))
-            .unionByName(ens.select(F.lit("ensemble").alias("model"), "ID", E.argmax_label("p").alias("label"))))
-    return M.leaderboard(long, val.select("ID", "label"))
+    return jobs.compare_ensemble({"letters": nn, "logreg": lr}, val, io.read_ensemble_config(spark, cfg_path))
 
 
 # U1 --------------------------------------------------------------------------
-@register("map_text_udf")
+@register("map_text_udf", lambda: f"""SELECT ID, length(regexp_replace(lower(text), {O.q(O.WS + '+')}, ' ', 'g')) AS n_chars
+FROM ({O.reviews_sql()})""")
 def map_text_udf(spark, sf):
     """A user cleaner applied with a vectorised pandas UDF hook."""
     from reviewlab.functions.udf import map_text
@@ -153,23 +188,59 @@ def _drop_files(spark, sf):
     return inbox
 
 
-@register("stream_predictions")
+def _served_sql():
+    return f"SELECT ID, src, CAST(length(text) % 3 AS INTEGER) AS label FROM ({_prepare_inference_sql('serve', K.MAX_TEXT_LEN_SERVE)})"
+
+
+@register("stream_predictions", lambda: f"SELECT ID, label FROM ({_served_sql()})")
 def stream_predictions(spark, sf):
     """ST1: files arriving in a folder -> prepared -> scored -> ``ID,label``
     parquet with a checkpoint (availableNow trigger)."""
     inbox = _drop_files(spark, sf)
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
     stream.run_predictions(spark, inbox, out, ck, stream.default_scorer)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("ID", "label")
 
 
-@register("stream_source_counts")
+@register("stream_model_predictions", lambda: f"SELECT ID, true AS same FROM ({O.reviews_sql()})")
+def stream_model_predictions(spark, sf):
+    """ST1 with a fitted model, saved and loaded: files of two runs of the
+    stream, each row's label against that of the batch job (Q3)."""
+    train, _ = _train_val(spark, sf)
+    path = scratch_path(spark, "stream-model")
+    ML.save_model(ML.train_svm(train), path)
+    model = ML.load_model(path)
+    reviews = V.reviews(spark, sf).select("ID", "text", "src")
+    inbox, out, ck = (scratch_path(spark, f"stream-model-{x}") for x in ("in", "out", "ck"))
+    for part in (0, 1):
+        some = reviews.filter(F.col("ID") % 2 == part)
+        io.write_reviews(some.repartition(2, "ID"), inbox, "csv", mode="append")
+        stream.run_predictions(spark, inbox, out, ck, ML.scorer(model, baselines.SVC_FEATURES))
+    streamed = spark.read.parquet(out).select("ID", F.col("label").alias("streamed"))
+    batch = jobs.predict_table(reviews, model, baselines.SVC_FEATURES)
+    return batch.join(streamed, "ID", "full").select("ID", F.col("label").eqNullSafe(F.col("streamed")).alias("same"))
+
+
+@register("stream_source_counts", lambda: f"""SELECT coalesce(nullif(trim(src), ''), {O.q(K.UNKNOWN_SOURCE)}) AS src, label, count(*) AS n
+FROM ({_served_sql()}) GROUP BY ALL""")
 def stream_source_counts(spark, sf):
     """ST2: running predicted class x source counts over arriving files."""
     inbox = _drop_files(spark, sf)
     out, ck = scratch_path(spark, "counts-out"), scratch_path(spark, "counts-ck")
     stream.run_source_counts(spark, inbox, out, ck, stream.default_scorer)
-    return spark.read.parquet(out)
+    return stream.read_source_counts(spark, out)
+
+
+# J4 / G7 -----------------------------------------------------------------------
+@register("source_distribution_last", lambda: f"""WITH s AS (SELECT conv_id AS ID, coalesce(nullif(trim(arg_max(role, turn)), ''), {O.q(K.UNKNOWN_SOURCE)}) AS src
+  FROM conversations GROUP BY conv_id),
+j AS (SELECT p.y_pred AS label, coalesce(s.src, {O.q(K.UNKNOWN_SOURCE)}) AS src FROM ({O.preds_sql()}) p LEFT JOIN s USING (ID))
+SELECT src, count(*) FILTER (label = 0) AS n_0, count(*) FILTER (label = 1) AS n_1, count(*) FILTER (label = 2) AS n_2, count(*) AS total FROM j GROUP BY src""")
+def source_distribution_last(spark, sf):
+    """J4 + G7 where IDs repeat: each conversation's last role is its source."""
+    turns = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("ID"), F.col("role").alias("src"), "turn")
+    pred = V.preds(spark, sf).select("ID", F.col("y_pred").alias("label"))
+    return G.source_distribution(pred, turns, order="turn").select("src", "n_0", "n_1", "n_2", "total")
 
 
 # IO2 / P5 / IO7 ----------------------------------------------------------------
@@ -177,21 +248,18 @@ def stream_source_counts(spark, sf):
 def io_unlabelled_roundtrip(spark, sf):
     """IO2 + P5: ``ID,text,src`` CSV read back with IDs cast to bigint."""
     path = scratch_path(spark, "unlabelled-csv")
-    r = V.reviews(spark, sf).select(F.col("ID").cast("string").alias("ID"), "text", "src")
-    io.write_reviews(r, path, "csv")
-    back = spark.read.options(**io._CSV).schema("ID string, text string, src string").csv(path)
-    return frames.cast_ids(back, ["ID"])
+    io.write_reviews(V.reviews(spark, sf).select("src", F.col("ID").cast("string").alias("ID"), "text"), path, "csv")
+    return frames.cast_ids(io.read_reviews(spark, path, labelled=False), ["ID"])
 
 
 @register("cached_scores", lambda: f"""SELECT ID, round(p[1], 6) AS p0, round(p[2], 6) AS p1, round(p[3], 6) AS p2
 FROM ({O.score_probs_sql()})""")
 def cached_scores(spark, sf):
-    """IO7: scores stored under an input+model fingerprint; the second call
-    reads the stored table instead of recomputing."""
-    base = scratch_path(spark, "score-cache")
-    compute = lambda: V.score_probs(spark, sf)
-    io.cached_scores(spark, base, sf, "scores_a", compute)
-    s = io.cached_scores(spark, base, sf, "scores_a", compute)
+    """IO7: scores stored under a digest of the input and the model's name; the
+    second call reads the stored table instead of recomputing."""
+    base, inputs = scratch_path(spark, "score-cache"), V.table(spark, sf, "labels")
+    io.cached_scores(spark, base, inputs, "scores_a", lambda: V.score_probs(spark, sf))
+    s = io.cached_scores(spark, base, inputs, "scores_a", lambda: V.score_probs(spark, sf).limit(0))
     return s.select("ID", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(3)])
 
 

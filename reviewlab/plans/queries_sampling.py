@@ -10,7 +10,7 @@ from reviewlab.operators import frames, profile as G, sampling as SMP
 from reviewlab.plans import jobs
 from reviewlab.plans import oracle as O
 from reviewlab.plans.catalog import register
-from reviewlab.session import cut_lineage, spread
+from reviewlab.session import cut_lineage, spread, stored
 from reviewlab.sources import testviews as V
 
 SEED = K.SEED
@@ -290,11 +290,13 @@ def _prep_report_sql():
 def prep_report(spark, sf):
     """Step counters of the training preparation."""
     from reviewlab.functions.sentences import shorten
-    raw = _labelled(spark, sf)
-    dedup = frames.dedup_exact(raw, ("text", "label"), "ID")
-    cleaned = T.clean_text(dedup)
-    short = frames.drop_empty(cleaned).withColumn("text", shorten("text", K.MAX_TEXT_LEN_TRAIN))
-    return G.prep_report(raw, dedup, cleaned, short, K.MAX_TEXT_LEN_TRAIN)
+    steps = G.StepCounters(K.MAX_TEXT_LEN_TRAIN)
+    raw = steps.watch(_labelled(spark, sf), "raw")
+    dedup = steps.watch(frames.dedup_exact(raw, ("text", "label"), "ID"), "deduped")
+    cleaned = steps.watch(T.clean_text(dedup), "cleaned")
+    short = steps.watch(frames.drop_empty(cleaned).withColumn("text", shorten("text", K.MAX_TEXT_LEN_TRAIN)), "shortened")
+    stored(short, "prepared")
+    return steps.report(spark)
 
 
 def _training_sql():

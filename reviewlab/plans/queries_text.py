@@ -178,9 +178,9 @@ def add_source_token_raw(spark, sf):
                                    normalise=False).drop("src")
 
 
-def _prepare_inference_sql():
+def _prepare_inference_sql(profile="train", max_len=K.MAX_TEXT_LEN_TRAIN):
     base = f"SELECT ID, text, src FROM ({O.reviews_sql()})"
-    short = O.shorten_sql(O.clean_text_sql(base, "text", "train"), "text", K.MAX_TEXT_LEN_TRAIN)
+    short = O.shorten_sql(O.clean_text_sql(base, "text", profile), "text", max_len)
     return (f"SELECT ID, {_src_token_sql('src', 'text')} AS text, src, "
             f"length(text) = 0 AS is_empty FROM {short}")
 
