@@ -35,6 +35,23 @@ def source_targets(sizes: DataFrame, max_epochs: float) -> DataFrame:
         table = stored(table.withColumn("held", F.col("held") | over), "targets")
 
 
+def _per_word(keys: DataFrame, per_source: DataFrame) -> DataFrame:
+    """(_ws, _per_word): for each source the probability of a copy for each
+    word of a document. With the sizes from the largest down, those whose
+    probability would exceed 1 are certain, and the rest share what is left of
+    the words. Works on the counts of each size; a source whose documents are
+    all certain has no row."""
+    sizes = keys.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    sizes = sizes.join(per_source.select("_source", "_words"), F.col("source").eqNullSafe(F.col("_source"))).filter("_words > 0")
+    words, squares = F.col("n") * F.col("size"), (F.col("n") * F.col("size")).cast("double") * F.col("size")
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    larger = F.coalesce(F.sum(words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(squares).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rate = sizes.withColumn("_per_word", (F.col("_words") - larger) / rest)
+    fits = rate.filter((F.col("_per_word") > 0) & (F.col("_per_word") * F.col("size") <= 1))
+    return fits.groupBy(F.col("source").alias("_ws")).agg(F.max_by("_per_word", "size").alias("_per_word"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 17,
         out_prefix: str = "") -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (long: copies
@@ -42,16 +59,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
 
     Size: words of the text. Sources in code-point order, null last, have
     ``weights`` in turn. Within a source each document is due
-    target / source_size copies: the whole part is certain, and for the rest,
-    p, the documents are ranked by u / (1 - u) divided by p / (1 - p), with u
-    in (0, 1) from a keyed hash of the row, and taken in that order until the
-    source's words are reached. The row that would go beyond gives its place
+    target / source_size copies: the whole part is certain. One more copy goes
+    to documents with probability p, in proportion to their size, such that the
+    expected words are those still missing; where that would exceed 1 the copy
+    is certain too. The documents are ranked by u / (1 - u) divided by
+    p / (1 - p), with u in (0, 1) from a keyed hash of the row, and taken in
+    that order until the source's words are reached. The row that would go beyond gives its place
     to the row not taken yet whose size comes nearest to what is left, if one
     helps. The order is cut into ``PARTS``, summed for each part, and only
     the part in which a sample ends is sorted, so no source is in one task.
 
-    Null or empty texts have size 0 and fall in as the order has it (taken
-    0). A source without words has target 0. Equal rows tie by doc_id and
+    Null or empty texts have size 0 and come last in the order (taken 0). A source without words has target 0. Equal rows tie by doc_id and
     text, and full copies are interchangeable. Other columns stay; those
     named like a result are replaced. An empty table gives an empty result.
     """
@@ -68,9 +86,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     targets = source_targets(by_source.withColumn("weight", weight), max_epochs)
 
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    per_source = stored(targets.withColumn("_whole", F.floor(rate)).withColumn("_p", rate - F.floor(rate))
+    per_source = stored(targets.withColumn("_whole", F.floor(rate)).withColumn("_rest", rate - F.floor(rate))
                         .withColumn("_words", F.col("target") - F.col("_whole") * F.col("source_size"))
                         .withColumnRenamed("source", "_source"), "mix-targets")
+    per_source = stored(per_source.join(_per_word(keys, per_source), F.col("_source").eqNullSafe(F.col("_ws")), "left")
+                        .drop("_ws").withColumn("_per_word", F.coalesce("_per_word", F.lit(1.0))), "mix-targets")
 
     few = per_source.count() <= BROADCAST_SOURCES
     small = F.broadcast if few else (lambda table: table)
@@ -78,8 +98,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     def ranked(df: DataFrame) -> DataFrame:
         joined = df.join(small(per_source), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         u = (F.shiftrightunsigned("_h", 12) + F.lit(0.5)) / F.lit(2.0**52)
-        odds = (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))
-        q = F.when(F.col("_p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0))
+        p = F.least(F.lit(1.0), F.col("_per_word") * F.col("size"))
+        odds = (u / (1 - u)) * ((1 - p) / p)
+        q = F.when(p > 0, odds / (1 + odds)).otherwise(F.lit(1.0))
         return joined.withColumn("_q", q).withColumn("_part", F.least(F.floor(q * PARTS), F.lit(PARTS - 1)).cast("int"))
 
     order = ranked(keys)
@@ -107,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     marks = ending.join(picks, F.col("_es").eqNullSafe(F.col("_ps")), "left").drop("_ps")
 
     full = ranked(sized.withColumn("_h", row_hash)).join(small(marks), F.col("source").eqNullSafe(F.col("_es")), "left")
-    inside = F.coalesce((F.col("_q") < F.col("_eq")) | ((F.col("_q") == F.col("_eq")) & (F.col("_h") < F.col("_eh"))), F.col("_p") > 0)
+    inside = F.coalesce((F.col("_q") < F.col("_eq")) | ((F.col("_q") == F.col("_eq")) & (F.col("_h") < F.col("_eh"))), (F.col("_rest") > 0) & (F.col("size") > 0))
     is_end, is_pick = (F.coalesce((F.col("_q") == F.col(f"_{x}q")) & (F.col("_h") == F.col(f"_{x}h")), F.lit(False)) for x in "ep")
     # equal rows share their place: only so many of them, the first by doc_id and text, are taken
     nth = F.row_number().over(Window.partitionBy("source", "_h").orderBy("doc_id", "text"))

@@ -481,6 +481,44 @@ def test_mix_meets_targets(spark, docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_order_matches_brute_force(spark):
+    """Probabilities in proportion to sizes, the order by odds, and where it ends."""
+    rng = np.random.default_rng(12)
+    rows = [(i, "w " * int(rng.pareto(1.2) * 20 + 1) if i % 17 else "", f"s{i % 3}" if i % 5 else "s3") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = {r["doc_id"]: r for r in mixing.mix(df).withColumn("h", F.xxhash64(F.lit(17), "doc_id", F.crc32("text"))).collect()}
+    uneven = 0
+    for source in ("s0", "s1", "s2", "s3"):
+        own = [r for r in out.values() if r["source"] == source]
+        whole = int(own[0]["target"] // own[0]["source_size"])
+        words = own[0]["target"] - whole * own[0]["source_size"]
+        certain, per_word = 0, None
+        by_size = sorted((r["size"] for r in own if r["size"]), reverse=True)
+        for k, size in enumerate(by_size):  # the largest so many are certain
+            per_word = (words - sum(by_size[:k])) / sum(s * s for s in by_size[k:])
+            if per_word * size <= 1:
+                break
+            certain += 1
+        chance = {r["doc_id"]: min(1.0, per_word * r["size"]) for r in own}
+        uneven += len(set(chance.values())) > 10
+        assert sum(chance[r["doc_id"]] * r["size"] for r in own) == pytest.approx(words)
+        def place(r):
+            u, p = (((r["h"] % 2**64) >> 12) + 0.5) / 2.0**52, chance[r["doc_id"]]
+            return (u / (1 - u) * (1 - p) / p if p else float("inf")), r["h"]
+        taken, left = set(), words
+        order = sorted((r for r in own if r["size"]), key=place)
+        for at, r in enumerate(order):
+            if r["size"] > left:
+                near = min(order[at:], key=lambda x: (abs(x["size"] - left), place(x)))
+                if abs(near["size"] - left) < left:
+                    taken.add(near["doc_id"])
+                break
+            taken.add(r["doc_id"])
+            left -= r["size"]
+        assert {r["doc_id"]: r["copies"] for r in own if r["size"]} == {r["doc_id"]: whole + (r["doc_id"] in taken) for r in own if r["size"]}
+    assert uneven >= 3
+
+
 def test_mix_keeps_columns_of_any_name(spark):
     rows = [(i, "a b c " * (i % 5 + 1), "s", i, float(i), True, "x", i * 10) for i in range(20)]
     names = "doc_id long, text string, source string, size int, _q double, _whole boolean, copies string, `mix_size` long"
