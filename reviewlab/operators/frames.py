@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlab import constants as K
+from reviewlab.session import stored
 
 
 class MissingColumns(ValueError):
@@ -129,10 +130,31 @@ def add_source_token(df: DataFrame, text: str = "text", src: str = "src",
 def dedup_exact(df: DataFrame, cols=("text", "label"), key: str = "ID") -> DataFrame:
     """Keep the row with the smallest key of every group of exact copies.
 
-    Written as an aggregation (``min_by`` over a struct of the row) rather
-    than a window: partial aggregation collapses copies map-side, so a group
-    of copies that holds a third of all rows never lands on one task.
+    Groups are found by 128-bit fingerprints: numbers of a fixed size, so that
+    a hash aggregation counts them, with partial sums where they are read; a
+    group that holds a third of all rows is one row a task. Only the copies'
+    keys and fingerprints are written, and the rows are freed of those by an
+    anti-join, which moves no texts while the copies are few. Where a third
+    hash shows that one fingerprint stands for different rows, or where keys are
+    null or repeat within a group, whole rows are compared instead.
     """
+    told = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    marked = df.withColumn("__a", F.xxhash64(F.lit(1), *told)).withColumn("__b", F.xxhash64(F.lit(2), *told))
+    hashed = marked.select(F.col(key).alias("__k"), "__a", "__b", F.hash(*told).alias("__c"))
+    groups = stored(hashed.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__k").alias("__low"), F.min("__c").alias("__c0"), F.max("__c").alias("__c1"))
+                    .filter("__n > 1"), "copies")
+    found, mixed = groups.agg(F.count(F.lit(1)), F.count_if(F.col("__c0") != F.col("__c1"))).first()
+    if not found:
+        return df
+    copies = stored(hashed.join(groups, ["__a", "__b"]).select("__k", "__a", "__b", (F.col("__k") == F.col("__low")).alias("__first")), "copy-keys")
+    firsts, unknown = copies.agg(F.count_if(F.col("__first")), F.count_if(F.col("__first").isNull())).first()
+    if mixed or unknown or firsts != found:
+        return _dedup_by_rows(df, cols, key)
+    gone = copies.filter(~F.col("__first")).select(F.col("__k").alias(key), "__a", "__b")
+    return marked.join(gone, [key, "__a", "__b"], "left_anti").select(*df.columns)
+
+
+def _dedup_by_rows(df: DataFrame, cols, key: str) -> DataFrame:
     others = [c for c in df.columns if c not in cols]
     packed = F.struct(*[F.col(c) for c in others])
     return (df.groupBy(*cols)

@@ -50,12 +50,10 @@ def _per_label(l) -> tuple[Column, Column, Column]:
 def confusion(df: DataFrame, labels=K.LABELS, y_true: str = "y_true",
               y_pred: str = "y_pred") -> DataFrame:
     """Fixed ``len(labels)``^2 long table including zero cells."""
-    c = label_counts(df, (), labels, y_true, y_pred)
     t, p = F.col(y_true), F.col(y_pred)
     cells = df.filter(t.isin(*labels) & p.isin(*labels)).groupBy(
         t.cast("int").alias("y_true"), p.cast("int").alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
-    grid = (c.select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("y_true"))
-            .withColumn("y_pred", F.explode(F.array(*[F.lit(x) for x in labels]))))
+    grid = df.sparkSession.createDataFrame([(int(a), int(b)) for a in labels for b in labels], "y_true int, y_pred int")
     return (grid.join(F.broadcast(cells), ["y_true", "y_pred"], "left")
             .select("y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 

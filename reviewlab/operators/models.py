@@ -9,9 +9,12 @@ arrays), reweighted by the smooth IDF ``ln((1+n)/(1+df)) + 1``: MLlib's
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
@@ -21,7 +24,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql import types as T
 
 from reviewlab import constants as K
 from reviewlab.operators import baselines, boosting, linear
@@ -54,9 +57,24 @@ class Sublinear(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
     """Counts as ``1 + ln(count)``; zeros stay."""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        logs = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1.0 + np.log(v.values)), VectorUDT())
-        # a step of its own: MLlib's functions cannot hold Python's
-        return cut_lineage(df.withColumn(self.getOutputCol(), logs(self.getInputCol())))
+        """In Arrow batches; a vector reaches a task as a struct of its arrays."""
+        place, out = df.columns.index(self.getInputCol()), self.getOutputCol()
+        schema = T.StructType([*df.schema.fields, T.StructField(out, VectorUDT())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = batch.column(place)
+                kind, size, indices, values = vectors.flatten()
+                flat = values.flatten().to_numpy(zero_copy_only=False)
+                logs = np.where(flat > 0, 1.0 + np.log(np.where(flat > 0, flat, 1.0)), flat)
+                sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                field = vectors.type.field("values")
+                made = pa.ListArray.from_arrays(offsets, pa.array(logs), type=field.type)
+                new = pa.StructArray.from_arrays([kind, size, indices, made], fields=list(vectors.type), mask=vectors.is_null())
+                yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, out])
+
+        return df.mapInArrow(run, schema)
 
 
 def fit_vectorizer(train: DataFrame, tf: TextFeatures) -> PipelineModel:
@@ -202,7 +220,7 @@ def batch_score(df: DataFrame, make_predict_fn, text: str = "text", key: str = "
     built once per Python worker and fed Arrow batches of ``batch_size``.
     ``make_predict_fn()`` returns ``fn(texts: np.ndarray) -> np.ndarray``
     of shape (batch, num_labels) with probabilities."""
-    udf = predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()),
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()),
                             batch_size=batch_size, input_tensor_shapes=None)
     s = df.select(key, udf(F.col(text)).alias("p"))
     return s.select(key, E.argmax_label("p").alias("label"), "p")

@@ -4,21 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlab import constants as K
 from reviewlab.operators.frames import default_source, join_source
+from reviewlab.session import stored
 
 PERCENTILES = (0.1, 0.5, 0.9, 0.95, 0.99)
 
 
-def _total(df: DataFrame) -> Column:
-    """Row count as a scalar subquery: computed once, no join, no
-    single-partition window."""
-    return df.agg(F.count(F.lit(1))).scalar()
-
-
 def round_half_up(num: Column, den: Column, digits: int) -> Column:
     """``num/den`` rounded half-up to ``digits`` decimals in exact integer
     arithmetic, then scaled back (no binary-float tie surprises)."""
@@ -32,9 +27,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
-    """Counts and shares of the total (pandas ``normalize=True``)."""
-    return (value_counts(df, col)
-            .withColumn("share", F.round(F.col("n") / _total(df), 6)))
+    """Counts and shares of the total (pandas ``normalize=True``). The counts
+    are written, so that the total comes from them and the rows are read once."""
+    counts = stored(value_counts(df, col), "value-counts")
+    return counts.withColumn("share", F.round(F.col("n") / counts.agg(F.sum("n")).scalar(), 6))
 
 
 # G3 ------------------------------------------------------------------------
@@ -93,8 +89,8 @@ def class_distribution(pred: DataFrame, label: str = "label") -> DataFrame:
               .groupBy(F.col(label).cast("int").alias("label"))
               .agg(F.count(F.lit(1)).alias("n")))
     grid = sp.createDataFrame([(x,) for x in K.LABELS], "label int")
-    tot = pred.filter(F.col(label).isin(*K.LABELS)).agg(F.count(F.lit(1))).scalar()
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
+    tot = F.sum(n).over(Window.partitionBy())  # one row a class
     pct = F.when(tot > 0, round_half_up(n * 100, tot, 1)).otherwise(F.lit(0.0))
     exact = F.when(tot > 0, n * 100.0 / tot).otherwise(F.lit(0.0))
     bar = F.when((tot > 0) & (n > 0), F.greatest(exact, F.lit(K.BAR_MIN_HEIGHT))).otherwise(F.lit(0.0))
@@ -123,12 +119,12 @@ def class_weights(df: DataFrame, label: str = "label", mode: str = "inverse") ->
     """``inverse``: total / count per label (unnormalised); ``balanced``:
     total / (k * count) as in the library's ``class_weight='balanced'``."""
     counts = value_counts(df, label)
-    tot = _total(df)
+    classes = Window.partitionBy()  # one row a class
+    tot = F.sum("n").over(classes)
     if mode == "inverse":
         w = tot / F.col("n")
     elif mode == "balanced":
-        k = counts.agg(F.count(F.lit(1))).scalar()
-        w = tot / (k * F.col("n"))
+        w = tot / (F.count(F.lit(1)).over(classes) * F.col("n"))
     else:
         raise ValueError("mode must be 'inverse' or 'balanced'")
     return counts.withColumn("weight", F.round(w, 6))

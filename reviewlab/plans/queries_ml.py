@@ -13,6 +13,7 @@ from reviewlab.operators import profile as G
 from reviewlab.plans import jobs
 from reviewlab.plans import oracle as O
 from reviewlab.plans.catalog import register
+from reviewlab.plans.queries_eval import _history, _history_sql
 from reviewlab.plans.queries_sampling import _training_sql
 from reviewlab.plans.queries_text import _prepare_inference_sql
 from reviewlab.session import cut_lineage, scratch_path
@@ -34,14 +35,22 @@ def io_csv_roundtrip(spark, sf):
 # IO3 / IO6 -------------------------------------------------------------------
 @register("io_labels_roundtrip", lambda: f"SELECT CAST(ID AS VARCHAR) AS ID, y_pred AS label FROM ({O.preds_sql()})")
 def io_labels_roundtrip(spark, sf):
-    """IO6 writes ``ID,label``; IO3 reads it back through a messy header
-    (spaces, quotes, capitals)."""
+    """IO6 writes ``ID,label``; IO3 reads it back (``evaluate`` does so
+    through a messy header)."""
     path = scratch_path(spark, "labels-csv")
-    p = V.preds(spark, sf).select(F.col("ID"), F.col("y_pred").alias("label"))
-    p.toDF(" Id ", "'LABEL'").write.mode("overwrite").option("header", True).csv(path)
+    io.write_submission(V.preds(spark, sf).select("ID", F.col("y_pred").alias("label")), path)
     return io.read_labels(spark, path)
 
 
+# IO8 -------------------------------------------------------------------------
+@register("history_roundtrip", lambda: _history_sql())
+def history_roundtrip(spark, sf):
+    """IO8: a training history written as CSV and read back by column name."""
+    path = scratch_path(spark, "history-csv")
+    io.write_history(_history(spark, sf).select("val_f1", "epoch", "run"), path)
+    return io.read_history(spark, path).select("run", "epoch", "val_f1")
+
+
 # C1 / C6 / Q7 ------------------------------------------------------------------
 def _train_val(spark, sf):
     out = cut_lineage(jobs.prepare_training(V.reviews(spark, sf)))

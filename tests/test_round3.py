@@ -162,3 +162,27 @@ def test_prediction_job_keeps_every_row(spark):
     assert sorted(r["ID"] for r in out.collect()) == [1, 2, 3] and out.columns == ["ID", "label"]
     with pytest.raises(ValueError, match="src"):
         jobs.predict_table(rows.drop("src"), model, baselines.SVC_FEATURES)
+
+
+def test_dedup_finds_copies_without_moving_texts(spark):
+    rows = [(i, f"text {i % 40}", i % 2 if i % 7 else None, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "ID long, text string, label int, extra int").repartition(4)
+    first = {}
+    for r in rows:
+        first.setdefault((r[1], r[2]), r)
+    out = frames.dedup_exact(df)
+    assert sorted(map(tuple, out.collect())) == sorted(first.values()) and out.columns == df.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortAggregate" not in plan
+    nulls = df.withColumn("text", F.when(F.col("ID") % 3 > 0, F.col("text")))
+    assert frames.dedup_exact(nulls).count() == len({(None if r[0] % 3 == 0 else r[1], r[2]) for r in rows})
+    assert frames.dedup_exact(df.limit(0)).count() == 0
+
+
+def test_dedup_of_repeated_keys_compares_rows(spark):
+    rows = [(1, "a", 0), (1, "a", 0), (1, "b", 0), (2, "b", 0), (None, "c", 1), (None, "c", 1), (3, "d", None)]
+    out = frames.dedup_exact(spark.createDataFrame(rows, "ID long, text string, label int"))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "a", 0), (1, "b", 0), (None, "c", 1), (3, "d", None)]))
+    # a key that is a copy's in one group stays in another
+    two = [(5, "x", 0), (4, "x", 0), (5, "y", 0)]
+    assert sorted(map(tuple, frames.dedup_exact(spark.createDataFrame(two, "ID long, text string, label int")).collect())) == [(4, "x", 0), (5, "y", 0)]
