@@ -19,5 +19,5 @@ QUERIES = {
     "op12_simhash": simhash.op12_simhash,
     "op13_negatives": negatives.op13_negatives,
 }
-ORACLE: dict[str, str] = {"op1_suffix": suffix.OP1_SQL, "op4_top_k": topk.OP4_SQL, "op11_lexical": lexical.OP11_SQL,
+ORACLE: dict[str, str] = {"op1_suffix": suffix.OP1_SQL, "op4_top_k": topk.OP4_SQL, "op5_minhash": minhash.OP5_SQL, "op11_lexical": lexical.OP11_SQL,
                           "op13_negatives": negatives.OP13_SQL}

@@ -389,6 +389,43 @@ def test_toxicity_learns_words_and_scores_every_row(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def _plain_ftrl(rows, labels):
+    """FTRL-proximal as published, one coordinate at a time."""
+    z, n, (alpha, beta, l1, l2) = {}, {}, (toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i]**0.5) / alpha + l2)
+    prior = (sum(labels) + 0.1) / (len(labels) + 1)
+    bias, bias_n = float(np.log(prior / (1 - prior))), 0.0
+    for _ in range(toxicity.EPOCHS):
+        for row, y in zip(rows, labels):
+            w = {i: weight(i) for i in row}
+            g = 1 / (1 + np.exp(-(bias + sum(w.values())))) - y
+            for i in row:
+                sigma = ((n.get(i, 0.0) + g * g)**0.5 - n.get(i, 0.0)**0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+            bias_n += g * g
+            bias -= 0.05 / (1 + bias_n**0.5) * g
+    return bias, {i: weight(i) for i in z if weight(i)}
+
+
+def test_toxicity_weights_and_scores_match_a_plain_ftrl(spark):
+    texts = _texts(21, 120)
+    rows = [(i, t + (" awful vile" if i % 3 == 0 else " nice day"), "en", "s", 1) for i, t in enumerate(texts)] + [(500, None, None, None, None), (501, "", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    labels = [(i, int(i % 3 == 0)) for i in range(100)]
+    model = toxicity.fit(docs, spark.createDataFrame([*labels, (7, None), (None, 1)], "doc_id long, toxic int"))
+    made = {r[0]: [int(x) for x in toxicity.features([(r[1] or "").encode()])[0]] for r in rows}
+    order = np.random.default_rng(5).permutation(100)
+    bias, weights = _plain_ftrl([made[i] for i in order], [labels[i][1] for i in order])
+    got = dict(zip(model["feature"].tolist(), model["weight"].tolist()))
+    assert got.pop(-1) == pytest.approx(bias, rel=1e-9)
+    assert weights and got == pytest.approx(weights, rel=1e-9)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert scores == pytest.approx({i: 1 / (1 + np.exp(-(bias + sum(weights.get(f, 0.0) for f in fs)))) for i, fs in made.items()}, rel=1e-9)
+
+
 # --- 9: private data --------------------------------------------------------------------
 
 def test_surrogates_keep_type_format_and_identity(spark, empty):
