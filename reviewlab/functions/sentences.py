@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewlab import constants as K
+from reviewlab.functions.arrays import let
 
 
 def _c(c) -> Column:
@@ -63,9 +64,8 @@ def _fit_prefix(selected: Column, max_len: int) -> Column:
 def select_sentences(sents: Column, first_n: int = K.MAX_FIRST_SENTENCES) -> Column:
     """First ``first_n`` sentences, then later signal sentences that are not
     already selected (first occurrence wins), in text order."""
-    head = F.filter(sents, lambda s, i: i < first_n)
     tail = F.filter(sents, lambda s, i: (i >= first_n) & has_signal(s))
-    return F.concat(head, F.array_except(tail, head))
+    return let(F.slice(sents, 1, first_n), lambda head: F.concat(head, F.array_except(tail, head)))
 
 
 def shorten(c, max_len: int = K.MAX_TEXT_LEN_TRAIN,
@@ -73,7 +73,6 @@ def shorten(c, max_len: int = K.MAX_TEXT_LEN_TRAIN,
     """T22. Texts within ``max_len`` are returned as they are; if no sentence
     fits, the text is cut to ``max_len`` code points."""
     c = _c(c)
-    fitted = _fit_prefix(select_sentences(split_sentences(c), first_n), max_len)
-    return (F.when(F.length(c) <= max_len, c)
-            .when(fitted == "", F.substring(c, 1, max_len))
-            .otherwise(fitted))
+    fitted = let(split_sentences(c), lambda sents: _fit_prefix(select_sentences(sents, first_n), max_len))
+    cut = let(fitted, lambda f: F.when(f == "", F.substring(c, 1, max_len)).otherwise(f))
+    return F.when(F.length(c) <= max_len, c).otherwise(cut)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlab import constants as K
+from reviewlab.functions.arrays import let
 
 # Private-use sentinels around a rating number. ``strip_nonprintable`` deletes
 # private-use characters first, so they never collide with input text.
@@ -175,15 +176,17 @@ def words(c) -> Column:
     return F.filter(F.split(_c(c), r"(?U)\s+"), lambda w: w != "")
 
 
+def _caps(ws: Column) -> Column:
+    return F.size(F.filter(ws, lambda w: (F.length(w) >= K.CAPS_MIN_WORD_LEN) & (F.upper(w) == w) & (F.lower(w) != w)))
+
+
 def caps_word_count(c) -> Column:
-    return F.size(F.filter(words(c), lambda w: (F.length(w) >= K.CAPS_MIN_WORD_LEN)
-                           & (F.upper(w) == w) & (F.lower(w) != w)))
+    return _caps(words(c))
 
 
 def is_mostly_caps(c) -> Column:
-    n_caps = caps_word_count(c)
-    n_words = F.size(words(c))
-    return (n_caps > 0) & (n_caps * K.CAPS_RATIO_DEN >= n_words * K.CAPS_RATIO_NUM)
+    enough = lambda ws: let(_caps(ws), lambda n: (n > 0) & (n * K.CAPS_RATIO_DEN >= F.size(ws) * K.CAPS_RATIO_NUM))
+    return let(words(c), enough)
 
 
 def mark_caps(c) -> Column:
