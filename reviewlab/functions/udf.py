@@ -16,4 +16,6 @@ def map_text(df: DataFrame, fn, col: str = "text", out: str | None = None) -> Da
     def _udf(s: pd.Series) -> pd.Series:
         return fn(s.fillna(""))
 
-    return df.withColumn(out or col, _udf(F.col(col)))
+    # as in models.batch_score: the argument must be a plain column
+    arg = "__text"
+    return df.withColumn(arg, F.explode(F.array(col))).withColumn(out or col, _udf(F.col(arg))).drop(arg)

@@ -222,7 +222,9 @@ def batch_score(df: DataFrame, make_predict_fn, text: str = "text", key: str = "
     of shape (batch, num_labels) with probabilities."""
     udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()),
                             batch_size=batch_size, input_tensor_shapes=None)
-    s = df.select(key, udf(F.col(text)).alias("p"))
+    # the one-row explode keeps the expressions that made the text out of the
+    # model's argument: Spark does not extract a Python function over lambdas
+    s = df.select(key, F.explode(F.array(text)).alias("__t")).select(key, udf(F.col("__t")).alias("p"))
     return s.select(key, E.argmax_label("p").alias("label"), "p")
 
 
