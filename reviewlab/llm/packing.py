@@ -20,9 +20,9 @@ WINDOW = 1024
 #: Remainders that are packed together; what a task holds at once.
 HELD_DOCUMENTS = 4096
 #: Bytes of word encodings that a worker keeps, beyond which it starts anew, and what an entry takes besides.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 200
 #: Bytes of text that are cut into words at once, and words that are encoded in a row.
-TEXT_BYTES, JOINED = 1 << 20, 256
+TEXT_BYTES, JOINED = 2 << 20, 256
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
