@@ -18,7 +18,7 @@ from reviewlab.llm.topk import best, valid
 #: Vectors on which the trees are grown and the search is set, the first by a hash of their id.
 SAMPLE = 8192
 TREES, LEAF = 4, 64
-#: Of the sample's true neighbours, the share that the search must reach. On all rows more is found.
+#: Of a sample row's true neighbours, the share that the search must reach, for each row asked. On all rows more is found.
 RECALL = 0.93
 #: Rows of one tree's leaves that a task reranks.
 BLOCK = 8192
@@ -77,19 +77,20 @@ class Forest:
     def search(self, query: np.ndarray, visits: int) -> list[int]:
         """The first ``visits`` leaves of all trees from one queue, by the
         smallest margin on the way to a leaf."""
-        side = self.directions @ query - self.thresholds if len(self.thresholds) else self.thresholds
+        side = (self.directions @ query - self.thresholds if len(self.thresholds) else self.thresholds).tolist()
+        children = self.children.tolist()
         queue = [(-np.inf, i, root) for i, root in enumerate(self.roots)]
         heapq.heapify(queue)
         out, n = [], len(queue)
         while queue and len(out) < visits:
             cost, _, node = heapq.heappop(queue)
             while node >= 0:
-                margin, (low, high) = side[node], self.children[node]
+                margin, (low, high) = side[node], children[node]
                 near, far = (high, low) if margin > 0 else (low, high)
                 heapq.heappush(queue, (max(cost, abs(margin)), n, far))
                 n += 1
                 node = near
-            out.append(int(-1 - node))
+            out.append(-1 - node)
         return out
 
 
@@ -99,18 +100,29 @@ def inner(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def calibrated(rows: np.ndarray, indexed: np.ndarray, forest: Forest, k: int, recall: float) -> int:
-    """The visits with which sample rows, as queries, reach ``recall`` of their
-    ``k`` best in the sample. With more rows a query's best are nearer and
-    fall more often into the leaves it sees first."""
+    """The fewest visits with which each of the sample rows asked reaches
+    ``recall`` of its ``k`` best in the sample: a floor, not a mean, since a
+    mean over the few rows of a small table says little of any one query.
+    With more rows a query's best are nearer and fall more often into the
+    leaves it sees first."""
     asked = np.arange(0, len(rows), max(1, len(rows) // 256))
     product = rows[asked] @ rows.T
     product[np.arange(len(asked)), asked] = -np.inf
-    order = np.argsort(-product, axis=1)[:, :min(k, len(rows) - 1)]
-    placed, needed = forest.place(indexed), []
+    order = np.argsort(-product, axis=1)[:, :max(0, min(k, len(rows) - 1))]
+    least = min(max(1, int(np.ceil(recall * k))), order.shape[1])
+    placed, needed = forest.place(indexed), [1]
     for q, true in zip(rows[asked], order, strict=True):
         turn = {leaf: i + 1 for i, leaf in enumerate(forest.search(np.append(q, 0.0), forest.leaves))}
-        needed += [min(turn[x] for x in placed[i].tolist()) for i in true]
-    return int(np.quantile(needed, recall, method="higher"))
+        needed += sorted(min(turn[x] for x in placed[i].tolist()) for i in true)[:least]
+    return max(needed)
+
+
+def floor_of(query: np.ndarray, bits: np.ndarray, rows: np.ndarray, placed: np.ndarray, others: np.ndarray, k: int, slack: float) -> float:
+    """A score that the query's ``k`` best cannot fall below: the k-th best of
+    the sample rows in the leaves it visits, less the rounding of a sum."""
+    met = (rows @ query)[np.logical_or.reduce([bits[x] for x in placed.T]) & others]
+    low = np.partition(met, len(met) - k)[len(met) - k] - slack if len(met) >= k else -np.inf
+    return float(low) if np.isfinite(low) else -np.inf
 
 
 def _rerank(k: int):
@@ -119,18 +131,24 @@ def _rerank(k: int):
         rows, ask = part[~asks], part[asks]
         if rows.empty or ask.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        ids, table = rows["id"].to_numpy(), np.stack(rows["vector"].to_numpy())
-        leaves, leaf = np.unique(rows["leaf"].to_numpy().astype(np.int64), return_inverse=True)
+        ids, table, leaves = rows["id"].to_numpy(), np.stack(rows["vector"].to_numpy()), np.stack(rows["leaves"].to_numpy())
+        own = np.flatnonzero(leaves[0] == int(rows["leaf"].iloc[0]))[0]  # a block's rows are of one tree
         out: tuple[list, list, list] = [], [], []
         for at in range(0, len(ask), 128):
             some = ask.iloc[at:at + 128]
             vectors = np.stack(some["vector"].to_numpy())
-            seen = np.stack([np.isin(leaves, x) for x in some["leaves"]])[:, leaf] & (ids[None, :] != some["id"].to_numpy()[:, None])
-            rough = np.where(seen, vectors @ table.T, -np.inf)
-            edge = -np.partition(-rough, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(some), -np.inf)
-            near = seen & (rough >= np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), edge)[:, None])
+            bits = np.ascontiguousarray(np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in some["seen"]]), axis=1).T.astype(bool))
+            seen = bits[leaves[:, own]]
+            for tree in range(own):  # a row that an earlier tree shows is scored there
+                seen &= ~bits[leaves[:, tree]]
+            rough = vectors @ table.T
+            near = seen.T & (ids[None, :] != some["id"].to_numpy()[:, None]) & (rough >= some["floor"].to_numpy()[:, None])
             for i, query in enumerate(some["id"]):  # exact sums for all that may be among the k
                 places = np.flatnonzero(near[i])
+                if len(places) > k:
+                    close = rough[i, places]
+                    edge = np.partition(close, len(close) - k)[len(close) - k]
+                    places = places[close >= edge - 1e-9 * (1 + abs(edge))] if np.isfinite(edge) else places[close >= edge]
                 exact = inner(vectors[i], table[places])
                 top = best(exact, ids[places], k)
                 for column, new in zip(out, (np.full(len(top), query), ids[places][top], exact[top]), strict=True):
@@ -149,19 +167,20 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_
     The trees split vectors lengthened by sqrt(M^2 - |v|^2), M the largest
     norm: among those the largest inner product is the smallest angle. They
     are grown on at most ``sample`` rows, and the number of leaves a search
-    visits is set there to reach ``recall``; every row is indexed. A leaf's
+    visits is set there, by one rule for tables of any size, so that each row
+    asked reaches ``recall``; every row is indexed. A leaf's
     rows beyond ``block`` are cut into more blocks, all of which are
     searched, so a leaf of copies has no cap. Queries fall into blocks of
     about ``query_block`` by a hash of the id, and a task meets one block of
-    rows and one of queries. Each leaves k rows a query; a row met in several
-    trees counts once.
+    rows and one of queries. Each leaves at most k rows a query, none below
+    what the k-th best of the sample rows met promises; a row met in several
+    trees is scored in the first.
 
     Vectors that are null, zero, or hold a null or non-finite component take
     no part, nor do rows without an id or of another length than the most
     frequent one, of equally frequent ones the smallest. Rows with one id are one row; a query's own id is never
     its neighbour. Fewer candidates than k are all given if the search meets
-    them; up to ``sample`` rows it visits all leaves. Other columns are not
-    read.
+    them, as it does up to ``leaf`` rows. Other columns are not read.
     """
     rows = (vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
             .filter(F.col("id").isNotNull() & valid("vector") & F.exists("vector", lambda x: x != 0)))
@@ -169,17 +188,19 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = length["n"] if length else 0
     rows = rows.filter(F.size("vector") == width)
-    total, longest = rows.agg(F.count("*"), F.max(norm)).first()
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "vector").collect()  # at most ``sample`` rows
-    longest = longest or 0.0
+    longest = rows.agg(F.max(norm)).first()[0] or 0.0
+    hashed = F.xxhash64("id")
+    drawn = rows.orderBy(hashed, "id").limit(sample).select("id", "vector", hashed.alias("hash")).collect()  # at most ``sample`` rows
+    border = drawn[-1]["hash"] if drawn else 0
+    drawn = {r["id"]: r["vector"] for r in drawn}  # a row given twice would be its own neighbour
 
     def lengthened(table: np.ndarray) -> np.ndarray:
         return np.column_stack([table, np.sqrt(np.maximum(0.0, longest - (table * table).sum(1)))])
 
-    grown = np.array([r["vector"] for r in drawn], np.float64).reshape(len(drawn), width)
+    grown = np.array([*drawn.values()], np.float64).reshape(len(drawn), width)
     indexable = lengthened(grown)
     forest = Forest(indexable, trees, leaf)
-    visits = forest.leaves if total <= sample else calibrated(grown, indexable, forest, k, recall)
+    visits = calibrated(grown, indexable, forest, k, recall)
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(forest)
 
@@ -189,13 +210,26 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_
             placed = shared.value.place(lengthened(table))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(placed.tolist(), pa.list_(pa.int64()))], ["id", "vector", "asks", "leaves"])
 
+    index = stored(rows.dropDuplicates(["id"])
+                   .mapInArrow(indexed, "id long, vector array<double>, asks boolean, leaves array<long>"), "ann-index")
+    # the sample as indexed: of rows with one id the index holds one
+    known = index.filter(hashed <= border).select("id", "vector", "leaves").collect()  # at most ``sample`` rows
+    pilot = spark.sparkContext.broadcast((np.array([r["id"] for r in known], np.int64), np.array([r["vector"] for r in known], np.float64).reshape(len(known), width),
+                                          np.array([r["leaves"] for r in known], np.int64).reshape(len(known), trees)))
+
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, table, placed = pilot.value
         for b in batches:
-            found = [shared.value.search(np.append(v, 0.0), visits) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "vector", "leaves"])
+            found, seen, floors = [], [], []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                query, bits = np.array(v), np.zeros(shared.value.leaves, bool)
+                found.append(shared.value.search(np.append(query, 0.0), visits))
+                bits[found[-1]] = True
+                seen.append(np.packbits(bits).tobytes())
+                floors.append(floor_of(query, bits, table, placed, ids != i, k, 1e-9 * float(np.linalg.norm(query) * np.sqrt(longest))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(seen, pa.binary()), pa.array(floors, pa.float64())],
+                                             ["id", "vector", "visits", "seen", "floor"])
 
-    index = stored(rows.dropDuplicates(["id"])
-                   .mapInArrow(indexed, "id long, vector array<double>, asks boolean, leaves array<long>"), "ann-index")
     sizes = index.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()  # one row a leaf
     # a tree's neighbouring leaves share a block up to its size; a larger leaf has several blocks
     plan, at, held, tree = {}, 0, 0, 0
@@ -212,19 +246,20 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_
     table = spark.createDataFrame([(int(l), int(a), int(n)) for l, (a, n) in plan.items()], "leaf long, first long, parts long")
     asking_blocks = max(1, -(-index.filter("asks").count() // query_block))
     query_part = F.pmod(F.shiftright(F.xxhash64("id"), 20), F.lit(asking_blocks))
-    offered = (index.select("id", "vector", F.explode("leaves").alias("leaf")).join(F.broadcast(table), "leaf")
+    offered = (index.select("id", "vector", "leaves", F.explode("leaves").alias("leaf")).join(F.broadcast(table), "leaf")
                .select((F.col("first") + F.pmod(F.xxhash64("id"), "parts")).alias("block"),
                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asking_blocks - 1).cast("long"))).alias("part"),
-                       F.lit(False).alias("query"), "id", "vector", "leaf", F.lit(None).cast("array<long>").alias("leaves")))
-    seeking = index.filter("asks").select("id", "vector").mapInArrow(searched, "id long, vector array<double>, leaves array<long>")
-    visited = (seeking.select("id", F.explode("leaves").alias("leaf")).join(F.broadcast(table), "leaf")
-               .select("id", "leaf", F.explode(F.sequence("first", F.expr("first + parts - 1"))).alias("block"))
-               .groupBy("id", "block").agg(F.collect_list("leaf").alias("leaves")))
-    asking = visited.join(index.select("id", "vector"), "id").select(
-        "block", query_part.alias("part"), F.lit(True).alias("query"), "id", "vector", F.lit(None).cast("long").alias("leaf"), "leaves")
+                       F.lit(False).alias("query"), "id", "vector", "leaf", "leaves", F.lit(None).cast("binary").alias("seen"), F.lit(None).cast("double").alias("floor")))
+    seeking = stored(index.filter("asks").select("id", "vector")
+                     .mapInArrow(searched, "id long, vector array<double>, visits array<long>, seen binary, floor double"), "ann-asked")
+    visited = (seeking.select("id", F.explode("visits").alias("leaf")).join(F.broadcast(table), "leaf")
+               .select("id", F.explode(F.sequence("first", F.expr("first + parts - 1"))).alias("block")).distinct())
+    asking = visited.join(seeking, "id").select(
+        "block", query_part.alias("part"), F.lit(True).alias("query"), "id", "vector", F.lit(None).cast("long").alias("leaf"),
+        F.lit(None).cast("array<long>").alias("leaves"), "seen", "floor")
     found = stored(offered.unionByName(asking).groupBy("block", "part").applyInPandas(_rerank(k), "query_id long, vec_id long, score double"), "ann-found")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank.cast("int"))
+    return (found.withColumn("rank", rank.cast("int"))
             .filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 

@@ -138,6 +138,73 @@ def test_neighbours_reach_recall_and_are_exact(spark):
     assert {r["query_id"] for r in got} == set(range(0, 400, 20))
 
 
+def test_neighbours_visits_reach_recall_for_each_row_asked():
+    x = np.random.default_rng(4).normal(size=(250, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    indexed = np.column_stack([x, np.zeros(len(x))])
+    forest = ann.Forest(indexed, 4, 8)
+    visits = ann.calibrated(x, indexed, forest, 10, 0.85)
+    placed, product = forest.place(indexed), x @ x.T
+    np.fill_diagonal(product, -np.inf)
+    best = np.argsort(-product, axis=1)[:, :10]
+
+    def worst(visits):  # neighbours found for the row that finds fewest
+        return min(np.isin(placed[best[q]], forest.search(indexed[q], visits)).any(axis=1).sum() for q in range(len(x)))
+
+    assert worst(visits) >= 9 > worst(visits - 1) and visits < forest.leaves
+    assert ann.calibrated(x[:0], indexed[:0], ann.Forest(indexed[:0]), 10, 0.85) == ann.calibrated(x[:1], indexed[:1], ann.Forest(indexed[:1]), 10, 0.85) == 1
+
+
+def test_neighbours_search_the_same_way_at_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(10, 16)) * 8
+    x = {i: centres[i % 10] + rng.normal(size=16) for i in range(300)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()] * 2, "vec_id long, embedding array<double>")  # each row twice
+    set_visits, seen = ann.calibrated, []
+
+    def watched(rows, indexed, forest, k, recall):
+        seen.append((len(rows), set_visits(rows, indexed, forest, k, recall), forest.leaves))
+        return seen[-1][1]
+
+    monkeypatch.setattr(ann, "calibrated", watched)
+    for sample in (8192, 600, 599):  # more than all rows, all, one less
+        got = ann.neighbours(df, F.col("vec_id") % 7 == 0, k=10, sample=sample, leaf=8).collect()
+        assert len(seen) == 1, "the table's size decides whether the search is set"
+        rows, visits, leaves = seen.pop()
+        assert rows == 300 and visits < leaves
+        for q in range(0, 300, 7):
+            best = sorted(((-float((x[q] * v).sum()), i) for i, v in x.items() if i != q))[:10]
+            assert len({i for _, i in best} & {r["vec_id"] for r in got if r["query_id"] == q}) >= 9
+
+
+def test_neighbours_score_a_row_once_and_drop_only_what_cannot_be_among_the_best(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(600, 8)), 1)
+    x[100:180] = x[3]  # ties across blocks
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    stored, made = ann.stored, []
+
+    def counted(frame, name):
+        out = stored(frame, name)
+        if name == "ann-found":
+            made.append((out.count(), out.select("query_id", "vec_id").distinct().count()))
+        return out
+
+    def search():
+        return sorted(ann.neighbours(df, F.col("vec_id") % 3 == 0, k=6, sample=200, leaf=16, block=60).collect())
+
+    monkeypatch.setattr(ann, "stored", counted)
+    got = search()
+    floor = ann.floor_of
+    monkeypatch.setattr(ann, "floor_of", lambda *_: float("-inf"))
+    assert search() == got and len(got) == 200 * 6
+    assert all(rows == pairs for rows, pairs in made) and made[0][0] < made[1][0] / 2
+    # below the k-th best of the rows met by itself, and no floor with fewer
+    rows, bits, placed = np.array([[1.0], [5.0], [3.0], [4.0]]), np.array([True, False]), np.array([[0], [1], [0], [0]])
+    others = np.array([True, True, True, False])
+    assert floor(np.array([2.0]), bits, rows, placed, others, 2, 0.5) == 1.5 and floor(np.array([2.0]), bits, rows, placed, others, 3, 0.5) == -np.inf
+
+
 def test_neighbours_take_the_most_frequent_length(spark):
     good = [(i, [float(i + 1), 1.0, -float(i % 3)]) for i in range(30)]
     ids = spark.range(2000).orderBy(F.xxhash64("id")).limit(1).first()[0]  # the first by hash is odd
